@@ -79,9 +79,10 @@ def runs(member: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 @lru_cache(1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[1], np.full(size, _BASE, U64)]).astype(U64), dtype=U64)
-        down = np.cumprod(np.concatenate([[1], np.full(size, _BASE_INVERSE, U64)]).astype(U64), dtype=U64)
+    up, down = np.full(size + 1, _BASE, U64), np.full(size + 1, _BASE_INVERSE, U64)
+    up[0] = down[0] = 1
+    np.cumprod(up, out=up)
+    np.cumprod(down, out=down)
     return up, down
 
 
@@ -127,7 +128,7 @@ def ngram_hash(words: np.ndarray, n: int) -> np.ndarray:
     m = len(words) - n + 1
     if m <= 0:
         return np.zeros(0, U64)
-    out = np.full(m, U64(n) * U64(0x2545F4914F6CDD1D), U64)
+    out = np.full(m, U64(n * 0x2545F4914F6CDD1D % (1 << 64)), U64)
     for i in range(n):
         out = (out ^ words[i : i + m]) * U64(0x9FB21C651E98DF25)
         out ^= out >> U64(29)

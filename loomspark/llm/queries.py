@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from loomspark.llm import decontamination, quality
 from loomspark.llm.packing import op6_best_fit_packing
 from loomspark.llm.token_files import op10_token_files
 
-QUERIES = {f.__name__: f for f in (op6_best_fit_packing, op10_token_files)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (quality.op4_quality_rules, op6_best_fit_packing, decontamination.op7_decontamination, op10_token_files)}
+ORACLE = {"op4_quality_rules": quality.SQL, "op7_decontamination": decontamination.SQL}
