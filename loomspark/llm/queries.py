@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.llm import decontamination, neardup, quality
+from loomspark.llm import decontamination, neardup, quality, repeats
 from loomspark.llm.packing import op6_best_fit_packing
 from loomspark.llm.token_files import op10_token_files
 
-QUERIES = {f.__name__: f for f in (neardup.op3_minhash_neardup, quality.op4_quality_rules, op6_best_fit_packing, decontamination.op7_decontamination, op10_token_files)}
+QUERIES = {f.__name__: f for f in (neardup.op3_minhash_neardup, quality.op4_quality_rules, op6_best_fit_packing, decontamination.op7_decontamination, repeats.op8_repeated_bytes, op10_token_files)}
 ORACLE = {"op4_quality_rules": quality.SQL, "op7_decontamination": decontamination.SQL}
