@@ -9,14 +9,15 @@ such as runs of white space or scripts without spaces, stays in one chunk and is
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from loomspark.llm._text import pieces
+from loomspark.llm._text import PIECE_BYTES, pieces
 
 #: Distinct chunks kept by a worker; beyond it, the memory starts anew. It bounds memory and never changes a result.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 
 _B = np.arange(256)
 _VISIBLE = (_B > 0x20) & (_B < 0x7F)
@@ -41,7 +42,11 @@ def cuts(d: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes with the tokenizers library, remembering the ids of chunks seen."""
+    """Encodes with the tokenizers library, remembering the ids of chunks seen.
+
+    The strings of special tokens are ordinary text. New chunks that begin with a space and end visibly are encoded in a
+    row, since they would be cut there again; the ids' byte lengths tell them apart afterwards.
+    """
 
     def __init__(self, path: str):
         import os
@@ -50,6 +55,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # each byte is one character of a byte-level token
+            self.n_bytes[i] = len(token)
         self.forget()
 
     def forget(self) -> None:
@@ -57,17 +67,29 @@ class Encoder:
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, chunks: list[bytes]) -> None:
-        lists, step = [], 4096
-        for i in range(0, len(chunks), step):
-            lists += [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks[i : i + step]], add_special_tokens=False)]
-        lens = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((x for ids in lists for x in ids), np.uint32, int(lens.sum()))
+        plain, odd = [], []
         for c in chunks:
-            self.known[c] = len(self.known)
-        self.start = np.append(self.start, len(self.ids) + np.cumsum(lens) - lens)
-        self.length = np.append(self.length, lens)
-        self.ids = np.append(self.ids, flat)
+            (plain if len(c) > 1 and c[0] == 32 and _VISIBLE[c[1]] and _VISIBLE[c[-1]] else odd).append(c)
+        flat, lens = [], []
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            ids = np.array(self._ids([b"".join(part).decode()])[0], np.uint32)
+            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))) + 1
+            flat.append(ids)
+            lens.append(np.diff(ends, prepend=0))
+        for i in range(0, len(odd), 4096):
+            lists = self._ids([c.decode() for c in odd[i : i + 4096]])
+            lens.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            flat.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(lens[-1].sum())))
+        length = np.concatenate(lens)
+        self.known.update(zip(plain + odd, range(len(self.known), len(self.known) + len(chunks)), strict=True))
+        self.start = np.append(self.start, len(self.ids) + np.cumsum(length) - length)
+        self.length = np.append(self.length, length)
+        self.ids = np.concatenate([self.ids, *flat])
 
     def encode(self, d: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offsets of the texts among them."""
@@ -77,13 +99,15 @@ class Encoder:
         bounds = np.append(at, len(d)).astype(np.int64)
         chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(d))]).dictionary_encode()
         words = chunks.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.forget()
-            new = words
+        number = list(map(self.known.get, words))
+        new = [w for w, k in zip(words, number, strict=True) if k is None]
         if new:
+            if len(self.known) + len(new) > REMEMBERED:
+                self.forget()
+                new = words
             self._learn(new)
-        number = np.fromiter((self.known[w] for w in words), np.int64, len(words))[chunks.indices.to_numpy()]
+            number = list(map(self.known.__getitem__, words))
+        number = np.array(number, np.int64)[chunks.indices.to_numpy()]
         lens = self.length[number]
         ends = np.cumsum(lens)
         ids = self.ids[np.repeat(self.start[number] - (ends - lens), lens) + np.arange(int(ends[-1]))]
@@ -99,7 +123,7 @@ def encoder(path: str) -> Encoder:
 def encoded(column: pa.Array, path: str):
     """For runs of texts: rows, ids, offsets."""
     own = encoder(path)
-    for rows, d, off in pieces(column):
+    for rows, d, off in pieces(column, 2 * PIECE_BYTES):
         yield rows, *own.encode(d, off)
 
 
