@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import decontamination, langid, neardup, quality, repeats, sharding, url_filter
+from loomspark.llm import decontamination, langid, neardup, pii, quality, repeats, sharding, url_filter
 from loomspark.llm.packing import op6_best_fit_packing
 from loomspark.llm.token_files import op10_token_files
 
@@ -10,6 +10,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         langid.op1_language_id,
+        pii.op2_pii_sanitisation,
         neardup.op3_minhash_neardup,
         quality.op4_quality_rules,
         sharding.op5_consistent_hash_shards,
