@@ -4,14 +4,19 @@ Texts with equal shingle sets form one class, made by grouping on a 128-bit hash
 compared. Several independent trees branch the classes: at the root of each tree by one minwise token, and below it, in
 nodes that are still too large, by ``BRANCHES`` more tokens that the node's own name chooses, so that all members choose
 alike. A pair of similarity s stays together in one tree with probability s * (1 - (1 - s) ** BRANCHES) ** depth at least,
-which is over 0.79 for s = 0.85; eight trees miss it less than once in 200,000.
+which is over 0.81 for s = 0.85; eight trees miss it less than once in 500,000.
 
-Nodes are then compared exhaustively in two rounds. First every member is held against its node's least member, which
-joins large groups of near copies by a star instead of all their pairs. Then members that are not in the component of
-their node's least member are held against all others of another component. A comparison is a sketch of 128 bits (cut at
-four standard deviations below the threshold) inside the join's condition; only pairs that pass leave the join, and each
-is confirmed on the full sets. A node too large to be one task's is split by Spark's skew join, both sides being plain
-shuffles; no group is gathered.
+Nodes are then compared exhaustively, but for what is known to be redundant. Every member is held against its node's
+pivot, the member whose tokens most others share, and the size of their intersection is counted on the full sets. A
+member within ``NEAR`` of the pivot is settled: whatever it is linked to lies, Jaccard distance being a metric, within
+``WIDE`` of the pivot, so only members of that pivot's group need to be compared with it, and only those of another
+component whose intersection can be large enough, given both intersections with the pivot. A second round takes a pivot
+of the members not settled. Members that are still not settled are held against all others of their node. So a large
+group of near copies costs a star and a few borderline pairs instead of all pairs, and no link is lost.
+
+A comparison is a sketch of 256 bits (cut at four standard deviations below what it must let pass) inside the join's
+condition; only pairs that pass leave the join, and each is confirmed on the full sets. A node or group too large to be
+one task's is split by Spark's skew join, both sides being plain shuffles; no group is gathered.
 
 Edge cases: a text of fewer words than a shingle is one shingle; a null, empty or blank text has an empty set and is
 linked with nothing; repeated rows share a component; an empty table gives no rows; other columns are not read.
@@ -30,9 +35,11 @@ from loomspark.llm._store import written
 from loomspark.llm._text import LOWER, SPACED_WORD, U64, SubstringHash, mix, ngram_hash, pieces, runs, whole
 from loomspark.llm.components import components
 
-TREES, COORDINATES, SKETCH = 8, 24, 128
-BRANCHES, DEPTH, SMALL = 2, 3, 64
-SKETCH_SCHEMA = "doc_id long, text_key long, n_shingles long, hi long, lo long, s1 long, s2 long, roots array<int>, coordinates array<int>"
+TREES, COORDINATES, SKETCH = 8, 24, 256
+BRANCHES, DEPTH, SMALL = 2, 2, 64
+ROUNDS = 2
+S = [f"s{i + 1}" for i in range(SKETCH // 64)]
+SKETCH_SCHEMA = "doc_id long, text_key long, n_shingles long, hi long, lo long, " + "".join(f"{c} long, " for c in S) + "roots array<int>, coordinates array<int>"
 
 
 def shingle_sets(d: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +91,7 @@ def _sketch(n: int):
                     low[some] = minima(values, full, low.shape[1])
                 bits = np.packbits(((low[:, TREES + COORDINATES :] * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8), axis=1).view(np.int64)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * w), pa.array(np.ascontiguousarray(low[:, a : a + w]).view(np.int32).ravel())) for a, w in ((0, TREES), (TREES, COORDINATES))]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[rows], batch.column(1)[rows], pa.array(size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in (hi, lo)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(2)), *lists], ["doc_id", "text_key", "n_shingles", "hi", "lo", "s1", "s2", "roots", "coordinates"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[rows], batch.column(1)[rows], pa.array(size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in (hi, lo)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(S))), *lists], ["doc_id", "text_key", "n_shingles", "hi", "lo", *S, "roots", "coordinates"])
 
     return run
 
@@ -100,13 +107,17 @@ def _sets(n: int):
 
 
 def leaves(classes: DataFrame) -> DataFrame:
-    """(node, id, n, s1, s2): the classes' places in nodes of two or more that are not branched further."""
-    member = ["id", "n", "s1", "s2"]
+    """(node, id, n, sketch, shared): the classes' places in nodes of two or more that are not branched further.
+
+    shared counts the classes that share a root token with this one, tree by tree.
+    """
+    member = ["id", "n", *S]
     level = classes.select(*member, F.posexplode("roots").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), *member)
-    found = []
+    found, shared = [], None
     for depth in range(DEPTH + 1):
         sizes = written(level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "nodes")
         inside = level.join(sizes, "node")
+        shared = shared or inside.groupBy("id").agg(F.sum("size").alias("shared"))
         if depth == DEPTH or not sizes.where(F.col("size") > SMALL).take(1):
             found.append(inside.select("node", *member))
             break
@@ -114,43 +125,71 @@ def leaves(classes: DataFrame) -> DataFrame:
         large = inside.where(F.col("size") > SMALL).select("node", *member).join(classes.select("id", "coordinates"), "id")
         branch = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda j: F.xxhash64("node", j, F.get("coordinates", F.pmod(F.xxhash64("node", j), F.lit(COORDINATES)).cast("int")))))
         level = written(large.select(*member, branch.alias("node")), "branches")
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found).join(shared, "id")
+
+
+def _at_most(similarity: float) -> int:
+    """Differing sketch bits that all but a few of 100,000 pairs of this similarity stay within."""
+    agree = (1 + similarity) / 2
+    return int(SKETCH * (1 - agree) + 4 * (SKETCH * agree * (1 - agree)) ** 0.5)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, kept of each document, linking those of at least ``percent`` similarity."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     sketches = written(keyed.mapInArrow(_sketch(words), SKETCH_SCHEMA), "sketches")
-    payload = [c for c in ("s1", "s2", "roots", "coordinates")]
-    classes = sketches.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.max(F.struct(*payload)).alias("p"))
+    classes = sketches.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.max(F.struct(*S, "roots", "coordinates")).alias("p"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "hi", "lo", "one.doc_id", "one.text_key", "copies", "n", "p.*"), "classes")
     placed = written(leaves(classes), "leaves")
 
-    agree = (1 + percent / 100) / 2
-    most = int(SKETCH * (1 - agree) + 4 * (SKETCH * agree * (1 - agree)) ** 0.5)
+    limit = percent / 100
+    near = 1 - (1 - limit) * 2  # settled within this similarity of a pivot
+    wide = max(0.0, near - (1 - limit))  # and then linked to nothing outside of this one
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    close = (F.bit_count(a("s1").bitwiseXOR(b("s1"))) + F.bit_count(a("s2").bitwiseXOR(b("s2"))) <= most) & (F.least(a("n"), b("n")) * 100 >= F.greatest(a("n"), b("n")) * percent)
+
+    def within(similarity: float):
+        bits = reduce(lambda x, y: x + y, (F.bit_count(a(c).bitwiseXOR(b(c))) for c in S))
+        return (bits <= _at_most(similarity)) & (F.least(a("n"), b("n")) >= F.greatest(a("n"), b("n")) * F.lit(similarity - 1e-9))
+
     pair = [F.least(a("id"), b("id")).alias("u"), F.greatest(a("id"), b("id")).alias("v")]
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of pairs, a written table, those whose full sets are similar enough."""
+    def counted(pairs: DataFrame) -> DataFrame:
+        """Pairs u, v with the sizes of their sets and of what they share, as a written table."""
+        pairs = written(pairs, "pairs")
         wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(classes.select("id", "doc_id", "text_key"), "id")
         texts = keyed.join(wanted, ["doc_id", "text_key"]).select("id", "text").dropDuplicates(["id"])
         sets = written(texts.mapInArrow(_sets(words), "id long, items array<long>"), "sets")
         both = pairs.join(sets.select(F.col("id").alias("u"), F.col("items").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("items").alias("y")), "v")
-        shared = both.select("u", "v", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("total"))
-        return shared.where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).select("u", "v")
-
-    least = placed.groupBy("node").agg(F.min(F.struct("id", "n", "s1", "s2")).alias("m")).select("node", "m.*")
-    stars = written(placed.alias("b").join(least.alias("a"), "node").where((a("id") != b("id")) & close).select(*pair).distinct(), "star-pairs")
-    linked = components(confirmed(stars))
-
-    label = placed.join(linked.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    label = written(label, "labelled")
-    head = label.groupBy("node").agg(F.min(F.struct("id", "root")).getField("root").alias("head"))
-    apart = label.join(head, "node").where("root <> head").drop("head")
-    rest = apart.alias("a").join(label.alias("b"), (a("node") == b("node")) & (a("root") != b("root")) & close).select(*pair).distinct()
-    linked = components(linked.unionByName(confirmed(written(rest, "cross-pairs"))))
+        return written(both.select("u", "v", F.size("x").alias("nu"), F.size("y").alias("nv"), F.size(F.array_intersect("x", "y")).alias("shared")), "counted")
+
+    linked_ = F.col("shared") * 100 >= (F.col("nu") + F.col("nv") - F.col("shared")) * percent
+    similarity = F.col("shared") / (F.col("nu") + F.col("nv") - F.col("shared"))
+
+    open_, known = placed, None
+    for _ in range(ROUNDS):
+        pivots = written(open_.groupBy("node").agg(F.max(F.struct("shared", (-F.col("id")).alias("order"), "id", "n", *S)).alias("m")).select("node", "m.id", "m.n", *(f"m.{c}" for c in S)), "pivots")
+        stars = placed.alias("b").join(pivots.alias("a"), "node").where((a("id") != b("id")) & within(wide)).select(a("id").alias("u"), b("id").alias("v")).distinct()
+        found = counted(stars)
+        known = found if known is None else written(known.unionByName(found).distinct(), "stars")
+        close = found.where(similarity >= near).select(F.col("u").alias("pivot"), F.col("v").alias("id"))
+        settled = pivots.select("node", F.col("id").alias("pivot")).join(close, "pivot").select("node", "id").unionByName(pivots.select("node", "id"))
+        open_ = written(open_.join(settled, ["node", "id"], "left_anti"), "open")
+    links = written(components(known.where(linked_).select("u", "v")), "star-links")
+    roots = links.select(F.col("u").alias("id"), F.col("v").alias("root"))
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    # Members of a pivot's group: what they share with it (i) and what they have besides (e).
+    group = known.select(F.col("u").alias("pivot"), F.col("v").alias("id"), F.col("shared").alias("i"), (F.col("nv") - F.col("shared")).alias("e"))
+    group = labelled(group.join(classes.select("id", "n", *S), "id"))
+    group = written(group.join(roots.select(F.col("id").alias("pivot"), F.col("root").alias("head")), "pivot", "left").withColumn("head", F.coalesce("head", "pivot")), "groups")
+    possible = F.least(a("i"), b("i")) + F.least(a("e"), b("e"))
+    fits = possible * 100 >= (a("n") + b("n") - possible) * percent
+    inside = group.where("root <> head").alias("a").join(group.alias("b"), (a("pivot") == b("pivot")) & (a("root") != b("root")) & fits & within(limit)).select(*pair)
+    apart = labelled(open_).alias("a").join(labelled(placed).alias("b"), (a("node") == b("node")) & (a("root") != b("root")) & within(limit)).select(*pair)
+    rest = counted(inside.unionByName(apart).distinct().join(known.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
+    linked = components(links.select("u", "v").unionByName(rest.where(linked_).select("u", "v")))
 
     rooted = classes.join(linked.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("hi", "lo", "doc_id", "copies", F.coalesce("root", "id").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("size")).where("size > 1")

@@ -179,7 +179,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(tokenizer or default_tokenizer(), capacity, separator), PIECE_SCHEMA)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 50_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 1000) -> DataFrame:
     """Adds sequence_id and offset to pieces, a table that is cheap to read more than once.
 
     A length that many pieces share is numbered in as many buckets as keep each under about ``bucket_rows``.
