@@ -23,6 +23,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def free_name(name: str, *taken: str) -> str:
+    """name, with underscores added until no column has it (whatever its case)."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: its lineage ends there, and a lost executor costs a reread."""
     path = fresh_path(df.sparkSession, name)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm._store import written
+from loomspark.llm._store import free_name, written
 from loomspark.llm._text import ALNUM_WORD, LOWER, U64, SubstringHash, mix, ngram_hash, pieces, runs, whole
 
 WORDS, GRAM = 10, 5
@@ -137,9 +137,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, k: int
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, unchanged, without those that hold a passage of the benchmark."""
-    keyed = F.xxhash64("doc_id", "text").alias("key")
-    hit = written(contamination(docs.select(keyed.alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("hit_key")).distinct(), "contaminated")
-    return docs.join(hit, F.xxhash64("doc_id", "text") == F.col("hit_key"), "left_anti")
+    key = free_name("hit_key", *docs.columns)
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    hit = written(contamination(keyed, benchmark).where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return docs.join(hit, F.xxhash64(docs["doc_id"], docs["text"]) == hit[key], "left_anti")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ step, so the whole text counts and the cost is a few array operations per charac
 
 The sample is bounded by ``SAMPLE_TEXTS`` excerpts of ``EXCERPT`` characters a language, chosen by a hash of the id among
 all training rows; everything else covers all rows and whole texts. Texts are parsed in blocks of ``BLOCK`` characters; a
-phrase ends with its block.
+phrase ends with its block, or with a letter that is in no sample.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, and so is every text if no row is labelled;
 ties go to the language that comes first by name; repeated rows are predicted alike; an empty table gives no rows;

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm._store import written
+from loomspark.llm._store import free_name, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -138,7 +138,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame) -> DataFrame:
     """The rows of docs with every span generalised to a tag of its kind; n_chars, where there is one, is counted anew."""
     names = ", ".join(f"'<{k.upper()}>'" for k in (*KINDS, TERM))
-    id_, spans, text = "_pii_id", "_pii_spans", "_pii_text"
+    id_, spans, text = (free_name(c, *docs.columns) for c in ("_pii_id", "_pii_spans", "_pii_text"))
     spans_of = personal_data(docs).where(F.size("spans") > 0).select(F.col("id").alias(id_), F.col("spans").alias(spans)).dropDuplicates([id_])
     joined = docs.withColumn(id_, F.xxhash64(F.coalesce("text", F.lit("")))).join(written(spans_of, "pii-spans"), id_, "left")
     # Overlapping spans become one tag, that of the first.

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.llm._store import written
+from loomspark.llm._store import free_name, written
 from loomspark.llm._text import SPACED_WORD, U64, SubstringHash, byte_table, mix, ngram_hash, pieces, runs, sums, whole
 
 SYMBOL = byte_table(b"#*$%&|<>")
@@ -79,7 +79,7 @@ def annotate(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             for rows, d, off in pieces(batch.column(at)):
                 yield pa.RecordBatch.from_arrays([*(batch.column(i)[rows] for i in range(at)), *map(pa.array, measure(d, off))], names=schema.names)
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema), prefix
+    return docs.select(*keep, F.col(text).alias(free_name("_text", *keep))).mapInArrow(run, schema), prefix
 
 
 def host_rates(measured: DataFrame, host: str) -> DataFrame:
@@ -113,10 +113,12 @@ def quality_verdicts(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 def quality_filter(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of docs, unchanged, that pass. The texts are measured twice, which costs less than shuffling them."""
     found, prefix = annotate(docs, ["source"])
-    bad = written(rejected_hosts(written(found.withColumnsRenamed({prefix + m: m for m in MEASURES}), "quality"), "source", limit), "quality-hosts")
+    name = free_name("bad_host", *docs.columns)
+    bad = rejected_hosts(written(found.withColumnsRenamed({prefix + m: m for m in MEASURES}), "quality"), "source", limit)
+    bad = written(bad.select(F.col("host").alias(name)), "quality-hosts")
     full, prefix = annotate(docs, docs.columns)
     passed = full.where(f"not ({BASE_FAILED.replace('n_', prefix + 'n_')})")
-    return passed.join(bad, F.coalesce("source", F.lit("")) == F.col("host"), "left_anti").select(*docs.columns)
+    return passed.join(bad, F.coalesce(passed["source"], F.lit("")) == bad[name], "left_anti").select(*docs.columns)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
