@@ -10,13 +10,14 @@ Nodes are then compared exhaustively, but for what is known to be redundant. Eve
 pivot, the member whose tokens most others share, and the size of their intersection is counted on the full sets. A
 member within ``NEAR`` of the pivot is settled: whatever it is linked to lies, Jaccard distance being a metric, within
 ``WIDE`` of the pivot, so only members of that pivot's group need to be compared with it, and only those of another
-component whose intersection can be large enough, given both intersections with the pivot. A second round takes a pivot
+component whose intersection can be large enough, or, in a large group, those that share rare differences from the pivot
+with it (see ``sharing_differences``). A second round takes a pivot
 of the members not settled. Members that are still not settled are held against all others of their node. So a large
-group of near copies costs a star and a few borderline pairs instead of all pairs, and no link is lost.
+group of near copies costs a star and a few borderline pairs instead of all pairs.
 
-A comparison is a sketch of 256 bits (cut at four standard deviations below what it must let pass) inside the join's
-condition; only pairs that pass leave the join, and each is confirmed on the full sets. A node or group too large to be
-one task's is split by Spark's skew join, both sides being plain shuffles; no group is gathered.
+Where whole nodes are compared, a comparison is a sketch of 256 bits (cut at four standard deviations below what it must
+let pass) inside the join's condition; only pairs that pass leave the join, and each is confirmed on the full sets. A
+node or group too large to be one task's is split by Spark's skew join, both sides being plain shuffles; none is gathered.
 
 Edge cases: a text of fewer words than a shingle is one shingle; a null, empty or blank text has an empty set and is
 linked with nothing; repeated rows share a component; an empty table gives no rows; other columns are not read.
@@ -28,15 +29,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm._store import written
+from loomspark.llm._store import free_name, written
 from loomspark.llm._text import LOWER, SPACED_WORD, U64, SubstringHash, mix, ngram_hash, pieces, runs, whole
 from loomspark.llm.components import components
 
 TREES, COORDINATES, SKETCH = 8, 24, 256
 BRANCHES, DEPTH, SMALL = 2, 2, 64
+#: Groups of up to so many members are compared pair by pair, larger ones by an index of their rare differences.
+EXHAUSTIVE = 256
 ROUNDS = 2
 S = [f"s{i + 1}" for i in range(SKETCH // 64)]
 SKETCH_SCHEMA = "doc_id long, text_key long, n_shingles long, hi long, lo long, " + "".join(f"{c} long, " for c in S) + "roots array<int>, coordinates array<int>"
@@ -128,18 +131,45 @@ def leaves(classes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found).join(shared, "id")
 
 
+def sharing_differences(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs u < v of different components of a group (pivot, id, n, root, apart) that can be linked; one of each is apart.
+
+    x and y are told from their pivot by the tokens that only one of them has: d(x), d(y). Linked texts differ in at most
+    (100 - percent) / (100 + percent) of their tokens, so d(x) and d(y) share at least ``need`` tokens, and at least one
+    where x isn't linked to the pivot. Hence, in one order of the tokens, rare ones first, the first |d| - need + 1
+    tokens of both have one in common: a join on tokens finds every pair, and few others.
+    """
+    own, other = sets.select("id", F.col("items").alias("x")), sets.select(F.col("id").alias("pivot"), F.col("items").alias("p"))
+    differ = F.concat(F.array_except("x", "p"), F.array_except("p", "x"))
+    member = ["pivot", "id", "n", "root", "apart"]
+    rows = group.join(own, "id").join(other, "pivot").select(*member, differ.alias("d")).select(*member, "d", F.size("d").alias("size"))
+    rows = written(rows.select(*member, "size", F.explode("d").alias("token")), "differences")
+    common = rows.groupBy("pivot", "token").agg(F.count("*").alias("often")).where("often > 1")
+    mine = Window.partitionBy("pivot", "id")
+    # Tokens that no other member has come first and never match: they only count as places.
+    place = F.col("size") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("often", "token"))
+    rows = written(rows.join(common, ["pivot", "token"]).select(*member, "size", "token", place.alias("place")), "difference-places")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    most = F.floor((a("n") + b("n")) * F.lit(100 - percent) / F.lit(100 + percent) + 1e-9)
+    need = F.greatest(F.lit(1), F.ceil((a("size") + b("size") - most) / 2))
+    fits = (a("place") <= a("size") - need + 1) & (b("place") <= b("size") - need + 1)
+    found = rows.where("apart").alias("a").join(rows.alias("b"), (a("pivot") == b("pivot")) & (a("token") == b("token")) & (a("root") != b("root")) & fits)
+    return found.select(F.least(a("id"), b("id")).alias("u"), F.greatest(a("id"), b("id")).alias("v")).distinct()
+
+
 def _at_most(similarity: float) -> int:
     """Differing sketch bits that all but a few of 100,000 pairs of this similarity stay within."""
     agree = (1 + similarity) / 2
     return int(SKETCH * (1 - agree) + 4 * (SKETCH * agree * (1 - agree)) ** 0.5)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, exhaustive: int = EXHAUSTIVE) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, kept of each document, linking those of at least ``percent`` similarity."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    place = F.coalesce("doc_id", F.lit(-1 << 63)).alias("place")  # null ids can be joined on
     sketches = written(keyed.mapInArrow(_sketch(words), SKETCH_SCHEMA), "sketches")
-    classes = sketches.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.max(F.struct(*S, "roots", "coordinates")).alias("p"))
-    classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "hi", "lo", "one.doc_id", "one.text_key", "copies", "n", "p.*"), "classes")
+    classes = sketches.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(place, "text_key")).alias("one"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.max(F.struct(*S, "roots", "coordinates")).alias("p"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "hi", "lo", "doc_id", "one.place", "one.text_key", "copies", "n", "p.*"), "classes")
     placed = written(leaves(classes), "leaves")
 
     limit = percent / 100
@@ -153,13 +183,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     pair = [F.least(a("id"), b("id")).alias("u"), F.greatest(a("id"), b("id")).alias("v")]
 
+    sets: list[DataFrame] = []
+
     def counted(pairs: DataFrame) -> DataFrame:
-        """Pairs u, v with the sizes of their sets and of what they share, as a written table."""
+        """Pairs u, v with the sizes of their sets and of what they share, as a written table; adds to sets what they lack."""
         pairs = written(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(classes.select("id", "doc_id", "text_key"), "id")
-        texts = keyed.join(wanted, ["doc_id", "text_key"]).select("id", "text").dropDuplicates(["id"])
-        sets = written(texts.mapInArrow(_sets(words), "id long, items array<long>"), "sets")
-        both = pairs.join(sets.select(F.col("id").alias("u"), F.col("items").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("items").alias("y")), "v")
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        for known_sets in sets:
+            wanted = wanted.join(known_sets.select("id"), "id", "left_anti")
+        texts = keyed.select(place, "text_key", "text").join(wanted.join(classes.select("id", "place", "text_key"), "id"), ["place", "text_key"]).select("id", "text").dropDuplicates(["id"])
+        sets.append(written(texts.mapInArrow(_sets(words), "id long, items array<long>"), "sets"))
+        every = reduce(DataFrame.unionByName, sets)
+        both = pairs.join(every.select(F.col("id").alias("u"), F.col("items").alias("x")), "u").join(every.select(F.col("id").alias("v"), F.col("items").alias("y")), "v")
         return written(both.select("u", "v", F.size("x").alias("nu"), F.size("y").alias("nv"), F.size(F.array_intersect("x", "y")).alias("shared")), "counted")
 
     linked_ = F.col("shared") * 100 >= (F.col("nu") + F.col("nv") - F.col("shared")) * percent
@@ -180,13 +215,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
-    # Members of a pivot's group: what they share with it (i) and what they have besides (e).
-    group = known.select(F.col("u").alias("pivot"), F.col("v").alias("id"), F.col("shared").alias("i"), (F.col("nv") - F.col("shared")).alias("e"))
-    group = labelled(group.join(classes.select("id", "n", *S), "id"))
-    group = written(group.join(roots.select(F.col("id").alias("pivot"), F.col("root").alias("head")), "pivot", "left").withColumn("head", F.coalesce("head", "pivot")), "groups")
+    # Members of a pivot's group that holds more than one component: what they share with it (i), what they have besides (e).
+    group = known.where(similarity >= wide - 1e-9).select(F.col("u").alias("pivot"), F.col("v").alias("id"), F.col("nv").alias("n"), F.col("shared").alias("i"), (F.col("nv") - F.col("shared")).alias("e"))
+    group = labelled(group).join(roots.select(F.col("id").alias("pivot"), F.col("root").alias("head")), "pivot", "left").withColumn("apart", F.col("root") != F.coalesce("head", "pivot"))
+    mixed = group.groupBy("pivot").agg(F.count("*").alias("members"), F.max("apart").alias("any")).where("any").select("pivot", "members")
+    group = written(group.join(mixed, "pivot").select("pivot", "members", "id", "n", "i", "e", "root", "apart"), "groups")
+    few = group.where(F.col("members") <= exhaustive).join(classes.select("id", *S), "id")
     possible = F.least(a("i"), b("i")) + F.least(a("e"), b("e"))
     fits = possible * 100 >= (a("n") + b("n") - possible) * percent
-    inside = group.where("root <> head").alias("a").join(group.alias("b"), (a("pivot") == b("pivot")) & (a("root") != b("root")) & fits & within(limit)).select(*pair)
+    inside = few.where("apart").alias("a").join(few.alias("b"), (a("pivot") == b("pivot")) & (a("root") != b("root")) & fits & within(limit)).select(*pair)
+    many = group.where(F.col("members") > exhaustive).select("pivot", "id", "n", "root", "apart")
+    inside = inside.unionByName(sharing_differences(many, reduce(DataFrame.unionByName, sets), percent))
     apart = labelled(open_).alias("a").join(labelled(placed).alias("b"), (a("node") == b("node")) & (a("root") != b("root")) & within(limit)).select(*pair)
     rest = counted(inside.unionByName(apart).distinct().join(known.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
     linked = components(links.select("u", "v").unionByName(rest.where(linked_).select("u", "v")))
@@ -201,8 +240,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, unchanged: one document of each group, the one of least id."""
-    gone = written(near_duplicates(docs, words, percent).where("not kept").select(F.xxhash64("doc_id", "text_key").alias("gone_key")).distinct(), "near-duplicates")
-    return docs.join(gone, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")) == F.col("gone_key"), "left_anti")
+    key = free_name("gone_key", *docs.columns)
+    gone = written(near_duplicates(docs, words, percent).where("not kept").select(F.xxhash64("doc_id", "text_key").alias(key)).distinct(), "near-duplicates")
+    return docs.join(gone, F.xxhash64(docs["doc_id"].cast("long"), F.xxhash64(docs["text"])) == gone[key], "left_anti")
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

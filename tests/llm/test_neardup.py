@@ -61,7 +61,8 @@ def test_groups_of_drifting_copies_match_brute_force(spark):
     for i in range(60):
         add(prose(20_000 + i, 60))
     df = spark.createDataFrame(rows, SHAPE)
-    assert got(near_duplicates(df, 3, 85)) == brute(rows, 3, 85)
+    for exhaustive in (256, 1):
+        assert got(near_duplicates(df, 3, 85, exhaustive)) == brute(rows, 3, 85)
     kept = {r.doc_id for r in near_dedup(df).collect()}
     assert kept == {c for _, _, c in brute(rows, 5, 80)}
 
