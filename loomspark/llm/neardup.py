@@ -132,7 +132,7 @@ def leaves(classes: DataFrame) -> DataFrame:
 
 
 def sharing_differences(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs u < v of different components of a group (pivot, id, n, root, apart) that can be linked; one of each is apart.
+    """Pairs u < v of different components of a group (pivot, id, n, root, apart) that can be linked, one of each apart.
 
     x and y are told from their pivot by the tokens that only one of them has: d(x), d(y). Linked texts differ in at most
     (100 - percent) / (100 + percent) of their tokens, so d(x) and d(y) share at least ``need`` tokens, and at least one
@@ -200,24 +200,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, exhausti
     linked_ = F.col("shared") * 100 >= (F.col("nu") + F.col("nv") - F.col("shared")) * percent
     similarity = F.col("shared") / (F.col("nu") + F.col("nv") - F.col("shared"))
 
-    open_, known = placed, None
+    open_, known, settles = placed, None, []
     for _ in range(ROUNDS):
         pivots = written(open_.groupBy("node").agg(F.max(F.struct("shared", (-F.col("id")).alias("order"), "id", "n", *S)).alias("m")).select("node", "m.id", "m.n", *(f"m.{c}" for c in S)), "pivots")
         stars = placed.alias("b").join(pivots.alias("a"), "node").where((a("id") != b("id")) & within(wide)).select(a("id").alias("u"), b("id").alias("v")).distinct()
         found = counted(stars)
         known = found if known is None else written(known.unionByName(found).distinct(), "stars")
         close = found.where(similarity >= near).select(F.col("u").alias("pivot"), F.col("v").alias("id"))
-        settled = pivots.select("node", F.col("id").alias("pivot")).join(close, "pivot").select("node", "id").unionByName(pivots.select("node", "id"))
-        open_ = written(open_.join(settled, ["node", "id"], "left_anti"), "open")
+        settled = written(open_.join(pivots.select("node", F.col("id").alias("pivot")), "node").join(close, ["pivot", "id"]).select("node", "pivot", "id"), "settled")
+        settles.append(settled.select("pivot", "id"))
+        done = settled.select("node", "id").unionByName(pivots.select("node", "id"))
+        open_ = written(open_.join(done, ["node", "id"], "left_anti"), "open")
     links = written(components(known.where(linked_).select("u", "v")), "star-links")
     roots = links.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
-    # Members of a pivot's group that holds more than one component: what they share with it (i), what they have besides (e).
+    # Members of a pivot's group that settles some of another component: what they share with it (i), and have besides (e).
     group = known.where(similarity >= wide - 1e-9).select(F.col("u").alias("pivot"), F.col("v").alias("id"), F.col("nv").alias("n"), F.col("shared").alias("i"), (F.col("nv") - F.col("shared")).alias("e"))
-    group = labelled(group).join(roots.select(F.col("id").alias("pivot"), F.col("root").alias("head")), "pivot", "left").withColumn("apart", F.col("root") != F.coalesce("head", "pivot"))
+    group = labelled(group).join(roots.select(F.col("id").alias("pivot"), F.col("root").alias("head")), "pivot", "left")
+    group = group.join(reduce(DataFrame.unionByName, settles).distinct().withColumn("settled", F.lit(True)), ["pivot", "id"], "left")
+    group = group.withColumn("apart", F.col("settled").isNotNull() & (F.col("root") != F.coalesce("head", "pivot")))  # to be compared with the group
     mixed = group.groupBy("pivot").agg(F.count("*").alias("members"), F.max("apart").alias("any")).where("any").select("pivot", "members")
     group = written(group.join(mixed, "pivot").select("pivot", "members", "id", "n", "i", "e", "root", "apart"), "groups")
     few = group.where(F.col("members") <= exhaustive).join(classes.select("id", *S), "id")
