@@ -15,9 +15,10 @@ with it (see ``sharing_differences``). A second round takes a pivot
 of the members not settled. Members that are still not settled are held against all others of their node. So a large
 group of near copies costs a star and a few borderline pairs instead of all pairs.
 
-Where whole nodes are compared, a comparison is a sketch of 256 bits (cut at four standard deviations below what it must
-let pass) inside the join's condition; only pairs that pass leave the join, and each is confirmed on the full sets. A
-node or group too large to be one task's is split by Spark's skew join, both sides being plain shuffles; none is gathered.
+Where whole nodes are compared, a comparison is a sketch of 256 minwise tokens, two bits of each (cut at four standard
+deviations below what it must let pass), inside the join's condition; only pairs that pass leave the join, and each is
+confirmed on the full sets. A node or group too large to be one task's is split by Spark's skew join, both sides being
+plain shuffles; none is gathered.
 
 Edge cases: a text of fewer words than a shingle is one shingle; a null, empty or blank text has an empty set and is
 linked with nothing; repeated rows share a component; an empty table gives no rows; other columns are not read.
@@ -41,7 +42,7 @@ BRANCHES, DEPTH, SMALL = 2, 2, 64
 #: Groups of up to so many members are compared pair by pair, larger ones by an index of their rare differences.
 EXHAUSTIVE = 256
 ROUNDS = 2
-S = [f"s{i + 1}" for i in range(SKETCH // 64)]
+S = [f"s{i + 1}" for i in range(SKETCH // 32)]  # two bits of each minwise token
 SKETCH_SCHEMA = "doc_id long, text_key long, n_shingles long, hi long, lo long, " + "".join(f"{c} long, " for c in S) + "roots array<int>, coordinates array<int>"
 
 
@@ -92,7 +93,8 @@ def _sketch(n: int):
                 if len(some):
                     hi[some], lo[some] = np.add.reduceat(mix(values), full[:-1]), np.add.reduceat(mix(values ^ U64(0xA5A5F00DCAFE1234)), full[:-1])
                     low[some] = minima(values, full, low.shape[1])
-                bits = np.packbits(((low[:, TREES + COORDINATES :] * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8), axis=1).view(np.int64)
+                two = ((low[:, TREES + COORDINATES :] * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint8).reshape(len(size), SKETCH // 4, 4)
+                bits = np.ascontiguousarray(two[..., 0] | two[..., 1] << 2 | two[..., 2] << 4 | two[..., 3] << 6).view(np.int64)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * w), pa.array(np.ascontiguousarray(low[:, a : a + w]).view(np.int32).ravel())) for a, w in ((0, TREES), (TREES, COORDINATES))]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows], batch.column(1)[rows], pa.array(size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in (hi, lo)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(S))), *lists], ["doc_id", "text_key", "n_shingles", "hi", "lo", *S, "roots", "coordinates"])
 
@@ -158,9 +160,9 @@ def sharing_differences(group: DataFrame, sets: DataFrame, percent: int) -> Data
 
 
 def _at_most(similarity: float) -> int:
-    """Differing sketch bits that all but a few of 100,000 pairs of this similarity stay within."""
-    agree = (1 + similarity) / 2
-    return int(SKETCH * (1 - agree) + 4 * (SKETCH * agree * (1 - agree)) ** 0.5)
+    """Differing sketch tokens that all but a few of 100,000 pairs of this similarity stay within."""
+    differ = 0.75 * (1 - similarity)
+    return int(SKETCH * differ + 4 * (SKETCH * differ * (1 - differ)) ** 0.5)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, exhaustive: int = EXHAUSTIVE) -> DataFrame:
@@ -178,7 +180,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, exhausti
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
 
     def within(similarity: float):
-        bits = reduce(lambda x, y: x + y, (F.bit_count(a(c).bitwiseXOR(b(c))) for c in S))
+        apart = [a(c).bitwiseXOR(b(c)) for c in S]
+        bits = reduce(lambda x, y: x + y, (F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for x in apart))
         return (bits <= _at_most(similarity)) & (F.least(a("n"), b("n")) >= F.greatest(a("n"), b("n")) * F.lit(similarity - 1e-9))
 
     pair = [F.least(a("id"), b("id")).alias("u"), F.greatest(a("id"), b("id")).alias("v")]
@@ -188,7 +191,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, exhausti
     def counted(pairs: DataFrame) -> DataFrame:
         """Pairs u, v with the sizes of their sets and of what they share, as a written table; adds to sets what they lack."""
         pairs = written(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
         for known_sets in sets:
             wanted = wanted.join(known_sets.select("id"), "id", "left_anti")
         texts = keyed.select(place, "text_key", "text").join(wanted.join(classes.select("id", "place", "text_key"), "id"), ["place", "text_key"]).select("id", "text").dropDuplicates(["id"])
@@ -211,12 +214,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, exhausti
         settles.append(settled.select("pivot", "id"))
         done = settled.select("node", "id").unionByName(pivots.select("node", "id"))
         open_ = written(open_.join(done, ["node", "id"], "left_anti"), "open")
-    links = written(components(known.where(linked_).select("u", "v")), "star-links")
-    roots = links.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    links = roots = None
+
+    def merged(confirmed: DataFrame) -> None:
+        """Adds confirmed links to what is connected."""
+        nonlocal links, roots
+        links = written(components(confirmed if links is None else links.unionByName(confirmed)).select("u", "v"), "links")
+        roots = links.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
+    def examined(pairs: DataFrame) -> DataFrame:
+        """Pairs not seen before, counted."""
+        nonlocal known
+        found = counted(pairs.distinct().join(known.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
+        known = known.unionByName(found)
+        return found
+
+    merged(known.where(linked_).select("u", "v"))
+
     # Members of a pivot's group that settles some of another component: what they share with it (i), and have besides (e).
     group = known.where(similarity >= wide - 1e-9).select(F.col("u").alias("pivot"), F.col("v").alias("id"), F.col("nv").alias("n"), F.col("shared").alias("i"), (F.col("nv") - F.col("shared")).alias("e"))
     group = labelled(group).join(roots.select(F.col("id").alias("pivot"), F.col("root").alias("head")), "pivot", "left")
@@ -230,11 +247,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, exhausti
     inside = few.where("apart").alias("a").join(few.alias("b"), (a("pivot") == b("pivot")) & (a("root") != b("root")) & fits & within(limit)).select(*pair)
     many = group.where(F.col("members") > exhaustive).select("pivot", "id", "n", "root", "apart")
     inside = inside.unionByName(sharing_differences(many, reduce(DataFrame.unionByName, sets), percent))
+    merged(examined(inside).where(linked_).select("u", "v"))
     apart = labelled(open_).alias("a").join(labelled(placed).alias("b"), (a("node") == b("node")) & (a("root") != b("root")) & within(limit)).select(*pair)
-    rest = counted(inside.unionByName(apart).distinct().join(known.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
-    linked = components(links.select("u", "v").unionByName(rest.where(linked_).select("u", "v")))
+    merged(examined(apart).where(linked_).select("u", "v"))
 
-    rooted = classes.join(linked.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("hi", "lo", "doc_id", "copies", F.coalesce("root", "id").alias("root"))
+    rooted = classes.join(roots, "id", "left").select("hi", "lo", "doc_id", "copies", F.coalesce("root", "id").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("size")).where("size > 1")
     shared = rooted.join(groups, "root").select("hi", "lo", "component_id")
     told = sketches.select("doc_id", "text_key", "n_shingles", "hi", "lo").join(shared, ["hi", "lo"], "left")
