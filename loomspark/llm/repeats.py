@@ -165,6 +165,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     kinds, unsettled = _kinds(blocks.drop("context"), F.col("open"))
     here = blocks.where("open").drop("context").join(kinds.where("n > 1").select("key", "reach", "span"), ["key", "reach", "span"])
     in_blocks = here.select("id", F.col("at").alias("lo"), (F.col("at") + F.col("reach") % (2 * length) - F.expr(f"cast(floor(reach / {2 * length}) as long)")).alias("hi"))
+    _release(spark)
     edges = unsettled.select(F.col("one.id").alias("id"), F.col("one.at").alias("at"), "key", "reach", "span", (F.col("n") == 1).alias("alone"))
     edges = blocks.join(edges, ["key", "reach", "span", "id", "at"]).select("id", "at", "context", (F.col("open") & F.col("alone")).alias("open"))
     windows, windows_path = _stored(edges.mapInArrow(_windows(length), "id long, at long, open boolean, h1 long, h2 long"), "windows")
@@ -172,9 +173,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     in_windows = windows.where("open").join(again, ["h1", "h2"]).select("id", F.col("at").alias("lo"), F.col("at").alias("hi"))
 
     found = solid.unionByName(in_blocks).unionByName(in_windows).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    found, found_path = _stored(found, "repeats")  # before the texts are shuffled once more
+    _release(spark, solid_path, blocks_path, windows_path)
     cut = long.join(found, "id").dropDuplicates(["id"]).select("id", "text", "spans")
     cut, _ = _stored(cut.mapInArrow(_removed(length), "id long, n_removed long, n_spans long, kept_sha256 string"), "removed")
-    _release(spark, solid_path, blocks_path, windows_path)
+    _release(spark, found_path)
     whole = keyed.select("id", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole_sha256"))
     return whole.join(cut, "id", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
 
