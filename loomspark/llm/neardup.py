@@ -9,10 +9,10 @@ which is over 0.81 for s = 0.85; eight trees miss it less than once in 500,000.
 Nodes are then compared exhaustively, but for what is known to be redundant. Every member is held against its node's
 pivot, the member whose tokens most others share, and the size of their intersection is counted on the full sets. A
 member within ``NEAR`` of the pivot is settled: whatever it is linked to lies, Jaccard distance being a metric, within
-``WIDE`` of the pivot, so only members of that pivot's group need to be compared with it, and only those of another
-component whose intersection can be large enough, or, in a large group, those that share rare differences from the pivot
-with it (see ``sharing_differences``). A second round takes a pivot
-of the members not settled. Members that are still not settled are held against all others of their node. So a large
+``WIDE`` of the pivot, so only members of that pivot's group (settled by it or not) need to be compared with it, and only
+those of another component whose intersection can be large enough, or, in a large group, those that share rare
+differences from the pivot with it (see ``sharing_differences``). A second round takes a pivot of the members not
+settled. Members that are still not settled are held against all others of their node. So a large
 group of near copies costs a star and a few borderline pairs instead of all pairs.
 
 Where whole nodes are compared, a comparison is a sketch of 256 minwise tokens, two bits of each (cut at four standard
@@ -134,7 +134,9 @@ def leaves(classes: DataFrame) -> DataFrame:
 
 
 def sharing_differences(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs u < v of different components of a group (pivot, id, n, root, apart) that can be linked, one of each apart.
+    """Pairs u < v of different components of a group that can be linked, one of each apart and one (or the same) settled.
+
+    A group has the columns pivot, id, n, root, apart, settled.
 
     x and y are told from their pivot by the tokens that only one of them has: d(x), d(y). Linked texts differ in at most
     (100 - percent) / (100 + percent) of their tokens, so d(x) and d(y) share at least ``need`` tokens, and at least one
@@ -143,7 +145,7 @@ def sharing_differences(group: DataFrame, sets: DataFrame, percent: int) -> Data
     """
     own, other = sets.select("id", F.col("items").alias("x")), sets.select(F.col("id").alias("pivot"), F.col("items").alias("p"))
     differ = F.concat(F.array_except("x", "p"), F.array_except("p", "x"))
-    member = ["pivot", "id", "n", "root", "apart"]
+    member = ["pivot", "id", "n", "root", "apart", "settled"]
     rows = group.join(own, "id").join(other, "pivot").select(*member, differ.alias("d")).select(*member, "d", F.size("d").alias("size"))
     rows = written(rows.select(*member, "size", F.explode("d").alias("token")), "differences")
     common = rows.groupBy("pivot", "token").agg(F.count("*").alias("often")).where("often > 1")
@@ -155,7 +157,7 @@ def sharing_differences(group: DataFrame, sets: DataFrame, percent: int) -> Data
     most = F.floor((a("n") + b("n")) * F.lit(100 - percent) / F.lit(100 + percent) + 1e-9)
     need = F.greatest(F.lit(1), F.ceil((a("size") + b("size") - most) / 2))
     fits = (a("place") <= a("size") - need + 1) & (b("place") <= b("size") - need + 1)
-    found = rows.where("apart").alias("a").join(rows.alias("b"), (a("pivot") == b("pivot")) & (a("token") == b("token")) & (a("root") != b("root")) & fits)
+    found = rows.where("apart").alias("a").join(rows.alias("b"), (a("pivot") == b("pivot")) & (a("token") == b("token")) & (a("root") != b("root")) & (a("settled") | b("settled")) & fits)
     return found.select(F.least(a("id"), b("id")).alias("u"), F.greatest(a("id"), b("id")).alias("v")).distinct()
 
 
@@ -234,18 +236,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, exhausti
 
     merged(known.where(linked_).select("u", "v"))
 
-    # Members of a pivot's group that settles some of another component: what they share with it (i), and have besides (e).
+    # Members of a pivot's group that settles some and holds some of another component (apart): what they share with the
+    # pivot (i), and have besides (e). A link of a settled member may lead to one that this pivot doesn't settle.
     group = known.where(similarity >= wide - 1e-9).select(F.col("u").alias("pivot"), F.col("v").alias("id"), F.col("nv").alias("n"), F.col("shared").alias("i"), (F.col("nv") - F.col("shared")).alias("e"))
     group = labelled(group).join(roots.select(F.col("id").alias("pivot"), F.col("root").alias("head")), "pivot", "left")
     group = group.join(reduce(DataFrame.unionByName, settles).distinct().withColumn("settled", F.lit(True)), ["pivot", "id"], "left")
-    group = group.withColumn("apart", F.col("settled").isNotNull() & (F.col("root") != F.coalesce("head", "pivot")))  # to be compared with the group
-    mixed = group.groupBy("pivot").agg(F.count("*").alias("members"), F.max("apart").alias("any")).where("any").select("pivot", "members")
-    group = written(group.join(mixed, "pivot").select("pivot", "members", "id", "n", "i", "e", "root", "apart"), "groups")
+    group = group.withColumns({"settled": F.col("settled").isNotNull(), "apart": F.col("root") != F.coalesce("head", "pivot")})
+    mixed = group.groupBy("pivot").agg(F.count("*").alias("members"), F.max("apart").alias("any"), F.max("settled").alias("some")).where("any and some").select("pivot", "members")
+    group = written(group.join(mixed, "pivot").select("pivot", "members", "id", "n", "i", "e", "root", "apart", "settled"), "groups")
     few = group.where(F.col("members") <= exhaustive).join(classes.select("id", *S), "id")
     possible = F.least(a("i"), b("i")) + F.least(a("e"), b("e"))
     fits = possible * 100 >= (a("n") + b("n") - possible) * percent
-    inside = few.where("apart").alias("a").join(few.alias("b"), (a("pivot") == b("pivot")) & (a("root") != b("root")) & fits & within(limit)).select(*pair)
-    many = group.where(F.col("members") > exhaustive).select("pivot", "id", "n", "root", "apart")
+    inside = few.where("apart").alias("a").join(few.alias("b"), (a("pivot") == b("pivot")) & (a("root") != b("root")) & (a("settled") | b("settled")) & fits & within(limit)).select(*pair)
+    many = group.where(F.col("members") > exhaustive).select("pivot", "id", "n", "root", "apart", "settled")
     inside = inside.unionByName(sharing_differences(many, reduce(DataFrame.unionByName, sets), percent))
     merged(examined(inside).where(linked_).select("u", "v"))
     apart = labelled(open_).alias("a").join(labelled(placed).alias("b"), (a("node") == b("node")) & (a("root") != b("root")) & within(limit)).select(*pair)

@@ -82,3 +82,17 @@ def test_dedup_keeps_columns_and_one_of_each_group(spark, awkward):
 
 def test_empty(spark, empty):
     assert op3_minhash_neardup(spark, empty).count() == 0
+
+
+def test_chains_of_drifting_versions_match_brute_force(spark):
+    """Each version is an edit of the one before: members of one chain are settled by different pivots."""
+    rows, wanted = [], []
+    for c in range(25, 45):
+        text, own = prose(c, 200), []
+        for i in range(30):
+            own.append((100 * c + i, text, "en", "a", 1))
+            text = edited(text, 1000 * c + i, 0.022)
+        rows += own
+        wanted += brute(own, 3, 85)
+    found = got(near_duplicates(spark.createDataFrame(rows, SHAPE), 3, 85))
+    assert found == sorted(wanted, key=str)
