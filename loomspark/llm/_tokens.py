@@ -44,11 +44,12 @@ def cuts(d: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes with the tokenizers library, remembering the ids of chunks seen.
 
-    The strings of special tokens are ordinary text. New chunks that begin with a space and end visibly are encoded in a
+    The strings of special tokens are ordinary text, unless ``added`` is set: then a text that holds the string of an added
+    token is encoded by the library as a whole, as its file says. New chunks that begin with a space and end visibly are encoded in a
     row, since they would be cut there again; the ids' byte lengths tell them apart afterwards.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -56,6 +57,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.whole = Tokenizer.from_file(path)
+        self.literals = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values() if t.content] if added else []
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # each byte is one character of a byte-level token
@@ -93,6 +96,30 @@ class Encoder:
 
     def encode(self, d: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offsets of the texts among them."""
+        ids, bounds = self._chunked(d, off)
+        own = self._holding(d, off)
+        if not own:
+            return ids, bounds
+        told = self.whole.encode_batch_fast([d[off[i] : off[i + 1]].tobytes().decode() for i in own], add_special_tokens=False)
+        lens, parts, at = np.diff(bounds), [], 0
+        for i, e in zip(own, told, strict=True):
+            parts += [ids[at : bounds[i]], np.array(e.ids, np.uint32)]
+            lens[i], at = len(e.ids), bounds[i + 1]
+        return np.concatenate([*parts, ids[at:]]), np.append(0, np.cumsum(lens))
+
+    def _holding(self, d: np.ndarray, off: np.ndarray) -> list[int]:
+        """The texts that hold the string of an added token."""
+        found, data = set(), d.tobytes() if self.literals else b""
+        for literal in self.literals:
+            at = data.find(literal)
+            while at >= 0:
+                i = int(np.searchsorted(off, at, "right")) - 1
+                if at + len(literal) <= off[i + 1]:
+                    found.add(i)
+                at = data.find(literal, at + 1)
+        return sorted(found)
+
+    def _chunked(self, d: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(d):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         at = cuts(d, off)
@@ -117,7 +144,7 @@ class Encoder:
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process."""
-    return Encoder(path)
+    return Encoder(path, added=True)
 
 
 def encoded(column: pa.Array, path: str):

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 from llm_data import awkward_rows, prose
 
-from loomspark.llm._tokens import Encoder, default_tokenizer
+from loomspark.llm._tokens import Encoder, default_tokenizer, encoded
 from loomspark.llm._store import fresh_path
 from loomspark.llm._text import utf8
 from loomspark.llm.token_files import op10_token_files, read_token_files, write_token_files
@@ -31,6 +31,20 @@ def test_chunked_encoding_equals_the_library():
             assert ids[off[k] : off[k + 1]].tolist() == e.ids, part[k]
 
 
+def test_added_tokens_are_encoded_as_the_unmodified_library_does():
+    from tokenizers import Tokenizer
+
+    t, draw = Tokenizer.from_file(default_tokenizer()), random.Random(9)
+    texts = ["a<|endoftext|>b", "", "<|endoftext|>", "a<|endof", "text|>b", prose(1, 50), "é <|endoftext|><|endoftext|> x"]
+    texts += ["".join(draw.choice([" ab", "<|endoftext|>", "|", ".\n", "<|", "é"]) for _ in range(draw.randrange(0, 20))) for _ in range(500)]
+    wanted = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert wanted[0] == [64, 50256, 65]
+    found = []
+    for _, ids, off in encoded(pa.array(texts), default_tokenizer()):
+        found += [ids[a:b].tolist() for a, b in zip(off, off[1:], strict=False)]
+    assert found == wanted
+
+
 def lawful(found, rows):
     t, at = library(), 0
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
