@@ -3,8 +3,8 @@
 E-mail addresses, IP addresses, card numbers and phone numbers are found by pattern and verified. Each distinct value is a
 protected entity. For the terms near an entity (``CONTEXT`` code points on either side), corpus co-occurrence tells how
 far a term gives it away: a term discloses an entity if their pointwise mutual information reaches ``DISCLOSURE`` of the
-entity's own information, and at least ``SUPPORT`` different texts have them together. Such a term is sanitised wherever
-it stands near that entity. Document frequencies of candidate terms count every word of every text.
+entity's own information. Every pair is judged, however few texts have it. Such a term is sanitised wherever it stands
+near that entity. Document frequencies of candidate terms count every word of every text.
 
 Entities, terms and pairs are counted with map-side combination and joined on themselves; a value that a third of all
 documents hold is one row of each table.
@@ -32,7 +32,7 @@ PATTERNS = (
 )
 #: A text that fails it has no match that would be kept.
 NEEDS = ("instr({t}, '@') > 0", "{t} rlike '[0-9]\\\\.[0-9]'", "{t} rlike '[0-9](?:[ -]?[0-9]){{13}}'", "instr({t}, '+') > 0")
-CONTEXT, SUPPORT, DISCLOSURE = 48, 3, 0.9
+CONTEXT, DISCLOSURE = 48, 0.9
 WORD = r"[\p{L}\p{N}]{3,}"
 FOUND = "array<struct<start: int, end: int, value: string>>"
 
@@ -104,7 +104,7 @@ def disclosing(spans: DataFrame, texts: DataFrame, total: int) -> DataFrame:
     """(entity, term) pairs in which the term gives the entity away, from rows with spans and near."""
     near = spans.select("id", F.explode("near").alias("t")).select("id", "t.entity", "t.term")
     copies = spans.groupBy("id").agg(F.count("*").alias("copies"))
-    together = near.distinct().join(copies, "id").groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("copies").alias("both")).where(F.col("support") >= SUPPORT)
+    together = near.distinct().join(copies, "id").groupBy("entity", "term").agg(F.sum("copies").alias("both"))
     together = written(together, "pii-pairs")
     entities = spans.select("id", F.explode(F.array_distinct(F.expr("transform(base, s -> xxhash64(s.kind, s.value))"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
     terms = together.select("term").distinct()

@@ -62,6 +62,16 @@ def test_terms_that_disclose_an_entity(spark):
     assert clean[100] == rows[4][1]
 
 
+def test_terms_that_disclose_an_entity_of_one_text(spark):
+    """An entity that occurs in a single text is judged like any other."""
+    rows = [(0, f"{prose(1, 12)} ask Zorblatt at z@corp.example today {prose(2, 12)}", "en", "a", 1)]
+    rows += [(1 + i, f"ask today {prose(100 + i, 60)}", "en", "a", 1) for i in range(40)]
+    found = {r.doc_id: r.spans.split(",") for r in pii_spans(spark.createDataFrame(rows, SHAPE)).collect()}
+    at, today = rows[0][1].index("Zorblatt"), rows[0][1].index("today")
+    assert f"term:{at}:{at + 8}" in found[0]
+    assert f"term:{today}:{today + 5}" not in found[0]
+
+
 def test_sanitise_keeps_columns_and_recounts(spark, awkward):
     docs = spark.read.parquet(f"{awkward}/documents.parquet")
     found = sanitise(docs)
