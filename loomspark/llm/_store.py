@@ -7,6 +7,7 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @lru_cache(1)
@@ -15,8 +16,16 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of its own only where that is unset, as in local tests."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The folder named by spark.checkpoint.dir. Only a local session may leave it unset, and gets a folder of its own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or _own_folder()).rstrip("/")
+
+
+def _file(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -30,15 +39,56 @@ def free_name(name: str, *taken: str) -> str:
     return name
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: its lineage ends there, and a lost executor costs a reread."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a table of the shared folder that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = _file(spark, path)
+    files.delete(target, True)
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: its lineage ends there, and a lost executor costs a reread.
+
+    The table is deleted when the application ends, if not before (see ``Tables``).
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    df.write.option("compression", compression).parquet(path)
+    target, files = _file(spark, path)
+    files.deleteOnExit(target)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+#: A table of up to so many rows of a few numbers each (some tens of MB) may be sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it is counted to be small, and shuffled otherwise."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+class Tables:
+    """The intermediate tables of one run of an operator, to be deleted once nothing reads them."""
+
+    def __init__(self):
+        self.open: list[tuple[SparkSession, str]] = []
+
+    def written(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        found = written(df, name, compression)
+        self.open.append((found.sparkSession, found.stored_at))
+        return found
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Deletes these tables."""
+        for frame in frames:
+            self.open.remove((frame.sparkSession, frame.stored_at))
+            delete(frame.sparkSession, frame.stored_at)
+
+    def close(self, *keep: DataFrame) -> None:
+        """Deletes all tables but those kept, which the result reads."""
+        kept = {f.stored_at for f in keep}
+        for spark, path in self.open:
+            if path not in kept:
+                delete(spark, path)
+        self.open = []

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,6 @@ import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 21
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def byte_table(pattern: bytes, invert: bool = False) -> np.ndarray:
@@ -77,28 +76,6 @@ def runs(member: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return start, np.flatnonzero(last) + 1, np.searchsorted(start, off)
 
 
-@lru_cache(1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size + 1, _BASE, U64), np.full(size + 1, _BASE_INVERSE, U64)
-    up[0] = down[0] = 1
-    np.cumprod(up, out=up)
-    np.cumprod(down, out=down)
-    return up, down
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, for up to n; grown by doubling."""
-    size = PIECE_BYTES
-    while size < n:
-        size *= 2
-    return _powers(size)
-
-
-@lru_cache(4)
-def byte_values(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x ^ (x >> U64(33))
@@ -109,18 +86,76 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def run_codes(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """From byte strings in a row and their lengths: the number of each one's kind, and the kinds."""
+    if not len(lens):
+        return np.zeros(0, np.int64), []
+    bounds = np.zeros(len(lens) + 1, np.int64)
+    np.cumsum(lens, out=bounds[1:])
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+
+def run_hashes(data: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the byte strings in a row; each kind of string is hashed once, by BLAKE2b."""
+    codes, kinds = run_codes(data, lens)
+    return np.frombuffer(b"".join(blake2b(k, digest_size=8).digest() for k in kinds), U64)[codes]
+
+
+PRIME = U64((1 << 61) - 1)
+_LOW = U64((1 << 31) - 1)
+
+
+def mod_prime(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> U64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1 of values below it."""
+    a1, a0, b1, b0 = a >> U64(31), a & _LOW, b >> U64(31), b & _LOW
+    middle = a1 * b0 + a0 * b1  # below 2**62
+    # a1 * b1 stands for its product with 2**62, which is 2.
+    return mod_prime(mod_prime(a1 * b1 * U64(2)) + (middle >> U64(30)) + mod_prime(((middle & U64((1 << 30) - 1)) << U64(31)) + a0 * b0))
+
+
+@lru_cache(4)
+def _powers(base: int, size: int) -> np.ndarray:
+    """Powers of the base modulo the prime, by doubling."""
+    out = np.ones(1, U64)
+    while len(out) < size:
+        out = np.concatenate([out, times(out, np.full(len(out), pow(base, len(out), int(PRIME)), U64))])
+    return out[:size]
+
+
 class SubstringHash:
-    """64-bit hashes of any substrings of a buffer from one prefix sum."""
+    """Hashes modulo the prime 2**61 - 1 of any substrings of a buffer, from prefix sums.
+
+    For a base drawn at random, two different strings of n bytes collide with a probability of at most n / 2**61.
+    Substrings are of less than 2**23 bytes.
+    """
+
+    BASES = (0x1B32A7C64F2E9D05, 0x0C9F3E8D57A1642B)
 
-    def __init__(self, data: np.ndarray, seed: int = 1):
+    def __init__(self, data: np.ndarray, which: int = 0):
         self.n = len(data)
-        up, self.down = powers(self.n)
-        self.prefix = np.zeros(self.n + 1, U64)
-        np.cumsum(byte_values(seed)[data] * up[: self.n], out=self.prefix[1:])
+        size = PIECE_BYTES
+        while size < self.n:
+            size *= 2
+        base = self.BASES[which]
+        up = _powers(base, size)[: self.n]
+        self.down = _powers(pow(base, -1, int(PRIME)), size)
+        value = data.astype(U64) + U64(1)
+        # Of sums modulo 2**64 the differences are exact: each is below 2**23 * 2**41.
+        self.low, self.high = np.zeros(self.n + 1, U64), np.zeros(self.n + 1, U64)
+        np.cumsum(value * (up & _LOW), out=self.low[1:])
+        np.cumsum(value * (up >> U64(31)), out=self.high[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.prefix[end] - self.prefix[start]) * self.down[start]
-        return mix(raw + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        low, high = self.low[end] - self.low[start], mod_prime(self.high[end] - self.high[start])
+        high = times(high, np.full(1, 1 << 31, U64))
+        total = mod_prime(mod_prime(low) + high)
+        return mix(times(total, self.down[start]) + (mix((end - start).astype(U64)) << U64(61)))
 
 
 def ngram_hash(words: np.ndarray, n: int) -> np.ndarray:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._store import written
+from loomspark.llm._store import Tables
 
 
 def _hang(links: DataFrame, least_of: DataFrame) -> DataFrame:
@@ -28,13 +28,14 @@ def _small_star(links: DataFrame) -> DataFrame:
     return _hang(down, least).unionByName(least.select("u", F.col("least").alias("v"))).where("u <> v").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Tables) -> DataFrame:
     """From links (u, v) of longs: a table (u, v) with each linked vertex u but the least, and v the least of its component."""
-    links = written(_small_star(_large_star(links.where("u <> v"))), "components")
+    links = tables.written(_small_star(_large_star(links.where("u <> v"))), "components")
     before = None
     while True:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return links
-        before = now
-        links = written(_small_star(_large_star(links)), "components")
+        before, last = now, links
+        links = tables.written(_small_star(_large_star(links)), "components")
+        tables.drop(last)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm._store import free_name, written
-from loomspark.llm._text import ALNUM_WORD, LOWER, U64, SubstringHash, mix, ngram_hash, pieces, runs, whole
+from loomspark.llm._text import ALNUM_WORD, LOWER, U64, mix, ngram_hash, pieces, run_hashes, runs, whole
 
 WORDS, GRAM = 10, 5
 #: Bits of the bitmap that stands before the join: 512 KB, whatever the benchmark's size.
@@ -32,8 +32,9 @@ BITS = 1 << 22
 
 def _words(d: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = LOWER[d]
-    start, end, word_off = runs(ALNUM_WORD[d], off)
-    return SubstringHash(d)(start, end), word_off
+    member = ALNUM_WORD[d]
+    start, end, word_off = runs(member, off)
+    return run_hashes(d[member], end - start), word_off
 
 
 def fingerprints(words: np.ndarray, word_off: np.ndarray, n: int = WORDS, k: int = GRAM) -> tuple[np.ndarray, np.ndarray]:

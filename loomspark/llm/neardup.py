@@ -3,29 +3,35 @@
 Texts with equal shingle sets form one class, made by grouping on a 128-bit hash of the set; from then on only classes are
 compared. Several independent trees branch the classes: at the root of each tree by one minwise token, and below it, in
 nodes that are still too large, by ``BRANCHES`` more tokens that the node's own name chooses, so that all members choose
-alike. A pair of similarity s stays together in one tree with probability s * (1 - (1 - s) ** BRANCHES) ** depth at least,
-which is over 0.81 for s = 0.85; eight trees miss it less than once in 500,000.
-
-Nodes are then compared exhaustively, but for what is known to be redundant. Every member is held against its node's
-pivot, the member whose tokens most others share, and the size of their intersection is counted on the full sets. A
-member within ``NEAR`` of the pivot is settled: whatever it is linked to lies, Jaccard distance being a metric, within
-``WIDE`` of the pivot, so only members of that pivot's group (settled by it or not) need to be compared with it, and only
-those of another component whose intersection can be large enough, or, in a large group, those that share rare
-differences from the pivot with it (see ``sharing_differences``). A second round takes a pivot of the members not
-settled. Members that are still not settled are held against all others of their node. So a large
-group of near copies costs a star and a few borderline pairs instead of all pairs.
-
-Where whole nodes are compared, a comparison is a sketch of 256 minwise tokens, two bits of each (cut at four standard
-deviations below what it must let pass), inside the join's condition; only pairs that pass leave the join, and each is
-confirmed on the full sets. A node or group too large to be one task's is split by Spark's skew join, both sides being
-plain shuffles; none is gathered.
+alike. A pair of similarity s stays together in one tree with probability s * (1 - (1 - s) ** BRANCHES) ** DEPTH at least;
+there are as many trees as make a pair at the threshold be missed less than once in ``MISSED`` (see ``trees_for``).
+
+Inside the nodes, pairs that are already connected aren't compared, and a large group of near copies costs rows in
+proportion to its size:
+
+1. *Stars.* Each node's members are held against its pivot, the member whose tokens most others share; the size of the
+   intersection is counted on the full sets. Those of at least ``WIDE`` similarity are the pivot's group. Jaccard distance
+   is a metric, so whatever is linked to a member that is closer by one link's distance (a settled member) lies in the
+   group too. Members not settled get a second pivot. A member that has met a pivot of its node but not the one that
+   settles its neighbours meets that one as well, so that one group, and not many, holds the near copies of a text.
+2. *Differences.* Members of a group are told from the pivot by the tokens that only one of them has, and two linked ones
+   share many of these. In one order of a group's tokens, rare ones first, the first few differences of both must have one
+   in common: an index on them finds every linked pair of members that the stars left in different components, and few
+   others. Members that share a token first meet one of them, and the pairs still apart after that meet each other.
+3. *Small nodes.* Members that no pivot settles are compared exhaustively within their node, by a sketch of 256 minwise
+   tokens, two bits of each, inside the join's condition.
+
+Each candidate is confirmed on the full sets. No group is gathered: joins are plain sort-merge joins on node, pivot or
+token, which Spark splits where they are skewed.
 
 Edge cases: a text of fewer words than a shingle is one shingle; a null, empty or blank text has an empty set and is
-linked with nothing; repeated rows share a component; an empty table gives no rows; other columns are not read.
+linked with nothing; a very long text is a long set; repeated rows share a component; of equally good pivots the one of
+least id is taken, which changes no result; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -33,24 +39,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm._store import free_name, written
-from loomspark.llm._text import LOWER, SPACED_WORD, U64, SubstringHash, mix, ngram_hash, pieces, runs, whole
+from loomspark.llm._store import Tables, free_name, if_small, written
+from loomspark.llm._text import LOWER, SPACED_WORD, U64, mix, ngram_hash, pieces, run_hashes, runs, whole
 from loomspark.llm.components import components
 
-TREES, COORDINATES, SKETCH = 8, 24, 256
+COORDINATES, SKETCH = 24, 256
 BRANCHES, DEPTH, SMALL = 2, 2, 64
-#: Groups of up to so many members are compared pair by pair, larger ones by an index of their rare differences.
-EXHAUSTIVE = 256
+#: A pair at the threshold may be missed once in so many.
+MISSED = 500_000
+#: Similarity to the pivot from which a member belongs to its group.
+WIDE = 0.3
 ROUNDS = 2
 S = [f"s{i + 1}" for i in range(SKETCH // 32)]  # two bits of each minwise token
 SKETCH_SCHEMA = "doc_id long, text_key long, n_shingles long, hi long, lo long, " + "".join(f"{c} long, " for c in S) + "roots array<int>, coordinates array<int>"
 
 
+def trees_for(percent: int) -> int:
+    s = percent / 100
+    return math.ceil(math.log(1 / MISSED) / math.log(1 - s * (1 - (1 - s) ** BRANCHES) ** DEPTH)) if 0 < s < 1 else 1
+
+
 def shingle_sets(d: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text, sorted, and the texts' offsets among them."""
     low = LOWER[d]
-    start, end, word_off = runs(SPACED_WORD[low], off)
-    words = SubstringHash(low)(start, end)
+    member = SPACED_WORD[low]
+    start, end, word_off = runs(member, off)
+    words = run_hashes(low[member], end - start)
     lens = np.diff(word_off)
     at = [np.flatnonzero(whole(word_off, n))]
     hashes = [ngram_hash(words, n)[at[0]]]
@@ -80,7 +94,7 @@ def minima(values: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _sketch(n: int):
+def _sketch(n: int, trees: int):
     def run(batches):
         for batch in batches:
             for rows, d, off in pieces(batch.column(2)):
@@ -89,13 +103,13 @@ def _sketch(n: int):
                 some = np.flatnonzero(size)
                 full = np.append(bounds[:-1][some], bounds[-1])
                 hi, lo = np.zeros(len(size), U64), np.zeros(len(size), U64)
-                low = np.zeros((len(size), TREES + COORDINATES + SKETCH), np.uint32)
+                low = np.zeros((len(size), trees + COORDINATES + SKETCH), np.uint32)
                 if len(some):
                     hi[some], lo[some] = np.add.reduceat(mix(values), full[:-1]), np.add.reduceat(mix(values ^ U64(0xA5A5F00DCAFE1234)), full[:-1])
                     low[some] = minima(values, full, low.shape[1])
-                two = ((low[:, TREES + COORDINATES :] * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint8).reshape(len(size), SKETCH // 4, 4)
+                two = ((low[:, trees + COORDINATES :] * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint8).reshape(len(size), SKETCH // 4, 4)
                 bits = np.ascontiguousarray(two[..., 0] | two[..., 1] << 2 | two[..., 2] << 4 | two[..., 3] << 6).view(np.int64)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * w), pa.array(np.ascontiguousarray(low[:, a : a + w]).view(np.int32).ravel())) for a, w in ((0, TREES), (TREES, COORDINATES))]
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * w), pa.array(np.ascontiguousarray(low[:, a : a + w]).view(np.int32).ravel())) for a, w in ((0, trees), (trees, COORDINATES))]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows], batch.column(1)[rows], pa.array(size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in (hi, lo)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(S))), *lists], ["doc_id", "text_key", "n_shingles", "hi", "lo", *S, "roots", "coordinates"])
 
     return run
@@ -111,7 +125,7 @@ def _sets(n: int):
     return run
 
 
-def leaves(classes: DataFrame) -> DataFrame:
+def leaves(classes: DataFrame, tables: Tables) -> DataFrame:
     """(node, id, n, sketch, shared): the classes' places in nodes of two or more that are not branched further.
 
     shared counts the classes that share a root token with this one, tree by tree.
@@ -120,7 +134,7 @@ def leaves(classes: DataFrame) -> DataFrame:
     level = classes.select(*member, F.posexplode("roots").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), *member)
     found, shared = [], None
     for depth in range(DEPTH + 1):
-        sizes = written(level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "nodes")
+        sizes = tables.written(level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "nodes")
         inside = level.join(sizes, "node")
         shared = shared or inside.groupBy("id").agg(F.sum("size").alias("shared"))
         if depth == DEPTH or not sizes.where(F.col("size") > SMALL).take(1):
@@ -129,144 +143,188 @@ def leaves(classes: DataFrame) -> DataFrame:
         found.append(inside.where(F.col("size") <= SMALL).select("node", *member))
         large = inside.where(F.col("size") > SMALL).select("node", *member).join(classes.select("id", "coordinates"), "id")
         branch = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda j: F.xxhash64("node", j, F.get("coordinates", F.pmod(F.xxhash64("node", j), F.lit(COORDINATES)).cast("int")))))
-        level = written(large.select(*member, branch.alias("node")), "branches")
+        level = tables.written(large.select(*member, branch.alias("node")), "branches")
     return reduce(DataFrame.unionByName, found).join(shared, "id")
 
 
-def sharing_differences(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs u < v of different components of a group that can be linked, one of each apart and one (or the same) settled.
+def _at_most(similarity: float) -> int:
+    """Differing sketch tokens that all but a few of 100,000 pairs of this similarity stay within."""
+    differ = 0.75 * (1 - similarity)
+    return int(SKETCH * differ + 4 * (SKETCH * differ * (1 - differ)) ** 0.5)
 
-    A group has the columns pivot, id, n, root, apart, settled.
 
-    x and y are told from their pivot by the tokens that only one of them has: d(x), d(y). Linked texts differ in at most
-    (100 - percent) / (100 + percent) of their tokens, so d(x) and d(y) share at least ``need`` tokens, and at least one
-    where x isn't linked to the pivot. Hence, in one order of the tokens, rare ones first, the first |d| - need + 1
-    tokens of both have one in common: a join on tokens finds every pair, and few others.
-    """
-    own, other = sets.select("id", F.col("items").alias("x")), sets.select(F.col("id").alias("pivot"), F.col("items").alias("p"))
-    differ = F.concat(F.array_except("x", "p"), F.array_except("p", "x"))
-    member = ["pivot", "id", "n", "root", "apart", "settled"]
-    rows = group.join(own, "id").join(other, "pivot").select(*member, differ.alias("d")).select(*member, "d", F.size("d").alias("size"))
-    rows = written(rows.select(*member, "size", F.explode("d").alias("token")), "differences")
-    common = rows.groupBy("pivot", "token").agg(F.count("*").alias("often")).where("often > 1")
-    mine = Window.partitionBy("pivot", "id")
-    # Tokens that no other member has come first and never match: they only count as places.
-    place = F.col("size") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("often", "token"))
-    rows = written(rows.join(common, ["pivot", "token"]).select(*member, "size", "token", place.alias("place")), "difference-places")
+def _passes(similarity: float):
+    """Whether the sketches and sizes of a and b allow this similarity."""
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    most = F.floor((a("n") + b("n")) * F.lit(100 - percent) / F.lit(100 + percent) + 1e-9)
-    need = F.greatest(F.lit(1), F.ceil((a("size") + b("size") - most) / 2))
-    fits = (a("place") <= a("size") - need + 1) & (b("place") <= b("size") - need + 1)
-    found = rows.where("apart").alias("a").join(rows.alias("b"), (a("pivot") == b("pivot")) & (a("token") == b("token")) & (a("root") != b("root")) & (a("settled") | b("settled")) & fits)
-    return found.select(F.least(a("id"), b("id")).alias("u"), F.greatest(a("id"), b("id")).alias("v")).distinct()
+    apart = [a(c).bitwiseXOR(b(c)) for c in S]
+    bits = reduce(lambda x, y: x + y, (F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for x in apart))
+    return (bits <= _at_most(similarity)) & (F.least(a("n"), b("n")) >= F.greatest(a("n"), b("n")) * F.lit(similarity - 1e-9))
 
 
-def _at_most(similarity: float) -> int:
-    """Differing sketch tokens that all but a few of 100,000 pairs of this similarity stay within."""
-    differ = 0.75 * (1 - similarity)
-    return int(SKETCH * differ + 4 * (SKETCH * differ * (1 - differ)) ** 0.5)
+def difference_places(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """An index of the differences of a group's members from their pivot: the columns of group, size, token, place.
+
+    A group has the columns pivot, id, n, n_pivot, apart (not connected with the pivot), root. Of x, size d(x) is counted;
+    two members x, y, one of them apart, are linked only if d(x) and d(y) share ``needed`` tokens, so in one order of the
+    tokens (what the pivot lacks first, rare ones before others) the first d - needed + 1 of both have one in common.
+    Only tokens at places that some partner can ask for are listed, and none that no other member lists.
+    """
+    own, other = sets.select("id", F.col("items").alias("x")), sets.select(F.col("id").alias("pivot"), F.col("items").alias("p"))
+    member = ["pivot", "id", "n", "root", "apart"]
+    rows = group.join(own, "id").join(other, "pivot")
+    rows = rows.select(*member, "n_pivot", F.array_except("x", "p").alias("more"), F.array_except("p", "x").alias("less"))
+    rows = rows.withColumn("size", F.size("more") + F.size("less"))
+    far, near = 100 + percent, 100 - percent
+    least = F.greatest(
+        F.lit(1),
+        F.col("size") - F.floor(F.col("n") * near / percent + 1e-9),
+        F.when(F.col("apart"), 1).otherwise(F.floor((F.col("size") - F.greatest(F.lit(0), F.col("n") - F.col("n_pivot")) * near / far) / 2 - 1e-9)),
+    )
+    rows = rows.withColumn("last", F.col("size") - least + 1).where(F.col("last") >= 1)
+    # What the member lacks stands after what it has besides, and is listed only as far as places go.
+    listed = F.expr("concat(transform(more, t -> struct(0 as kind, t as token)), transform(slice(array_sort(less), 1, cast(greatest(0, last - size(more)) as int)), t -> struct(1 as kind, t as token)))")
+    rows = rows.select(*member, "size", "last", F.size("more").alias("head"), listed.alias("listed"))
+    return rows.select(*member, "size", "last", "head", F.explode("listed").alias("t")).select(*member, "size", "last", "head", "t.kind", "t.token")
+
+
+def placed_differences(rows: DataFrame, tables: Tables) -> DataFrame:
+    """The rows of difference_places at their places, without what no member of another component lists."""
+    common = tables.written(rows.groupBy("pivot", "token").agg(F.count("*").alias("often")).where("often > 1"), "common-differences")
+    # Tokens that no other member has come first and never match: they only count as places.
+    shared = tables.written(rows.where("kind = 0").join(common, ["pivot", "token"]), "shared-differences")
+    mine = Window.partitionBy("pivot", "id")
+    first = shared.withColumn("place", F.col("head") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("often", "token")))
+    second = rows.where("kind = 1").withColumn("place", F.col("head") + F.row_number().over(mine.orderBy("token"))).join(common, ["pivot", "token"])
+    columns = ["pivot", "id", "n", "root", "apart", "size", "token", "place"]
+    return first.where("place <= last").select(*columns).unionByName(second.where("place <= last").select(*columns))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, exhaustive: int = EXHAUSTIVE) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, kept of each document, linking those of at least ``percent`` similarity."""
+    tables = Tables()
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     place = F.coalesce("doc_id", F.lit(-1 << 63)).alias("place")  # null ids can be joined on
-    sketches = written(keyed.mapInArrow(_sketch(words), SKETCH_SCHEMA), "sketches")
+    sketches = tables.written(keyed.mapInArrow(_sketch(words, trees_for(percent)), SKETCH_SCHEMA), "sketches")
     classes = sketches.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(place, "text_key")).alias("one"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.max(F.struct(*S, "roots", "coordinates")).alias("p"))
-    classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "hi", "lo", "doc_id", "one.place", "one.text_key", "copies", "n", "p.*"), "classes")
-    placed = written(leaves(classes), "leaves")
+    classes = tables.written(classes.select(F.monotonically_increasing_id().alias("id"), "hi", "lo", "doc_id", "one.place", "one.text_key", "copies", "n", "p.*"), "classes")
+    placed = tables.written(leaves(classes, tables), "leaves")
 
     limit = percent / 100
-    near = 1 - (1 - limit) * 2  # settled within this similarity of a pivot
-    wide = max(0.0, near - (1 - limit))  # and then linked to nothing outside of this one
+    settling = WIDE + (1 - limit)  # whatever is linked to a member this similar to a pivot is in the pivot's group
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-
-    def within(similarity: float):
-        apart = [a(c).bitwiseXOR(b(c)) for c in S]
-        bits = reduce(lambda x, y: x + y, (F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for x in apart))
-        return (bits <= _at_most(similarity)) & (F.least(a("n"), b("n")) >= F.greatest(a("n"), b("n")) * F.lit(similarity - 1e-9))
-
     pair = [F.least(a("id"), b("id")).alias("u"), F.greatest(a("id"), b("id")).alias("v")]
-
     sets: list[DataFrame] = []
 
     def counted(pairs: DataFrame) -> DataFrame:
         """Pairs u, v with the sizes of their sets and of what they share, as a written table; adds to sets what they lack."""
-        pairs = written(pairs, "pairs")
+        pairs = tables.written(pairs, "pairs")
         wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
         for known_sets in sets:
             wanted = wanted.join(known_sets.select("id"), "id", "left_anti")
         texts = keyed.select(place, "text_key", "text").join(wanted.join(classes.select("id", "place", "text_key"), "id"), ["place", "text_key"]).select("id", "text").dropDuplicates(["id"])
-        sets.append(written(texts.mapInArrow(_sets(words), "id long, items array<long>"), "sets"))
+        sets.append(tables.written(texts.mapInArrow(_sets(words), "id long, items array<long>"), "sets"))
         every = reduce(DataFrame.unionByName, sets)
         both = pairs.join(every.select(F.col("id").alias("u"), F.col("items").alias("x")), "u").join(every.select(F.col("id").alias("v"), F.col("items").alias("y")), "v")
-        return written(both.select("u", "v", F.size("x").alias("nu"), F.size("y").alias("nv"), F.size(F.array_intersect("x", "y")).alias("shared")), "counted")
+        return tables.written(both.select("u", "v", F.size("x").alias("nu"), F.size("y").alias("nv"), F.size(F.array_intersect("x", "y")).alias("shared")), "counted")
 
-    linked_ = F.col("shared") * 100 >= (F.col("nu") + F.col("nv") - F.col("shared")) * percent
+    linked = F.col("shared") * 100 >= (F.col("nu") + F.col("nv") - F.col("shared")) * percent
     similarity = F.col("shared") / (F.col("nu") + F.col("nv") - F.col("shared"))
-
-    open_, known, settles = placed, None, []
-    for _ in range(ROUNDS):
-        pivots = written(open_.groupBy("node").agg(F.max(F.struct("shared", (-F.col("id")).alias("order"), "id", "n", *S)).alias("m")).select("node", "m.id", "m.n", *(f"m.{c}" for c in S)), "pivots")
-        stars = placed.alias("b").join(pivots.alias("a"), "node").where((a("id") != b("id")) & within(wide)).select(a("id").alias("u"), b("id").alias("v")).distinct()
-        found = counted(stars)
-        known = found if known is None else written(known.unionByName(found).distinct(), "stars")
-        close = found.where(similarity >= near).select(F.col("u").alias("pivot"), F.col("v").alias("id"))
-        settled = written(open_.join(pivots.select("node", F.col("id").alias("pivot")), "node").join(close, ["pivot", "id"]).select("node", "pivot", "id"), "settled")
-        settles.append(settled.select("pivot", "id"))
-        done = settled.select("node", "id").unionByName(pivots.select("node", "id"))
-        open_ = written(open_.join(done, ["node", "id"], "left_anti"), "open")
     links = roots = None
 
-    def merged(confirmed: DataFrame) -> None:
-        """Adds confirmed links to what is connected."""
+    def merged(found: DataFrame) -> None:
+        """Adds the links among these pairs to what is connected."""
         nonlocal links, roots
-        links = written(components(confirmed if links is None else links.unionByName(confirmed)).select("u", "v"), "links")
+        found = found.where(linked).select("u", "v")
+        links = tables.written(components(found if links is None else links.unionByName(found), tables).select("u", "v"), "links")
         roots = links.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
-    def examined(pairs: DataFrame) -> DataFrame:
-        """Pairs not seen before, counted."""
-        nonlocal known
-        found = counted(pairs.distinct().join(known.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
+    # 1. Stars.
+    open_, known, pivots_of = placed, None, []
+    for _ in range(ROUNDS):
+        pivots = open_.groupBy("node").agg(F.max(F.struct("shared", (-F.col("id")).alias("order"), "id", "n", *S)).alias("m")).select("node", F.col("m.shared").alias("rank"), "m.id", "m.n", *(f"m.{c}" for c in S))
+        pivots = tables.written(pivots, "pivots")
+        pivots_of.append(pivots.select("id", "rank"))
+        stars = open_.alias("b").join(pivots.alias("a"), "node").where((a("id") != b("id")) & _passes(WIDE)).select(a("id").alias("u"), b("id").alias("v")).distinct()
+        found = counted(stars if known is None else stars.join(known.select("u", "v"), ["u", "v"], "left_anti"))
+        known = found if known is None else known.unionByName(found)
+        close = known.where(similarity >= settling).select(F.col("u").alias("pivot"), F.col("v").alias("id"))
+        settled = open_.join(pivots.select("node", F.col("id").alias("pivot")), "node").select("node", "pivot", "id").join(close, ["pivot", "id"]).select("node", "id")
+        open_ = tables.written(open_.join(settled.unionByName(pivots.select("node", "id")), ["node", "id"], "left_anti"), "open")
+    rank = tables.written(reduce(DataFrame.unionByName, pivots_of).distinct(), "ranks")
+
+    def chief() -> DataFrame:
+        """By member, the pivot of highest rank that settles it (itself, if it is a pivot and no other is higher)."""
+        able = known.where(similarity >= settling).select(F.col("v").alias("id"), F.col("u").alias("pivot")).join(rank.select(F.col("id").alias("pivot"), "rank"), "pivot")
+        able = able.select("id", "rank", "pivot").unionByName(rank.select("id", "rank", F.col("id").alias("pivot")))
+        return tables.written(able.groupBy("id").agg(F.max(F.struct("rank", (-F.col("pivot")).alias("order"))).alias("top")), "chiefs")
+
+    def in_groups() -> DataFrame:
+        return known.where(similarity >= WIDE - 1e-9).select(F.col("u").alias("pivot"), F.col("v").alias("id"), F.col("nv").alias("n"), F.col("nu").alias("n_pivot"))
+
+    # Members meet the highest chief of their groups.
+    grouped = tables.written(in_groups().join(chief(), "id"), "grouped")
+    highest = grouped.groupBy("pivot").agg(F.max("top").alias("top")).select("pivot", (-F.col("top.order")).alias("u"))
+    strays = grouped.join(highest, "pivot").where("u <> id").select("u", F.col("id").alias("v")).distinct().join(known.select("u", "v"), ["u", "v"], "left_anti")
+    strays = tables.written(strays, "strays")
+    sketched = classes.select("id", "n", *S)
+    strays = strays.join(sketched.withColumnRenamed("id", "u").alias("a"), "u").join(sketched.withColumnRenamed("id", "v").alias("b"), "v").where(_passes(WIDE)).select("u", "v")
+    known = tables.written(known.unionByName(counted(strays)), "known")
+    merged(known)
+
+    # 2. Differences. A pair of members that one pivot of higher rank settles is found in that pivot's group.
+    group = tables.written(labelled(in_groups()), "in-groups").join(roots.select(F.col("id").alias("pivot"), F.col("root").alias("head")), "pivot", "left")
+    group = tables.written(group.withColumn("apart", F.col("root") != F.coalesce("head", "pivot")).drop("head").join(chief().select("id", (-F.col("top.order")).alias("chief")), "id", "left"), "groups")
+    active = group.groupBy("pivot").agg(F.max("apart").alias("any"), F.min("chief").alias("lo"), F.max("chief").alias("hi"), F.max(F.col("chief").isNull()).alias("free"))
+    active = active.where("any and (free or lo <> hi or lo = pivot)").select("pivot")
+    group = tables.written(group.join(active, "pivot"), "active-groups")
+    index = tables.written(difference_places(group, reduce(DataFrame.unionByName, sets), percent), "differences")
+    index = tables.written(placed_differences(index, tables).join(group.select("pivot", "id", "chief"), ["pivot", "id"]), "difference-places")
+    most = F.floor((a("n") + b("n")) * F.lit(100 - percent) / F.lit(100 + percent) + 1e-9)
+    needed = F.greatest(F.lit(1), F.ceil((a("size") + b("size") - most) / 2))
+    fits = (a("place") <= a("size") - needed + 1) & (b("place") <= b("size") - needed + 1)
+    elsewhere = F.coalesce((a("chief") == b("chief")) & (a("chief") != a("pivot")), F.lit(False))
+
+    def sharing(rows: DataFrame, partners: DataFrame) -> DataFrame:
+        """Pairs of members of different components that share a token at places where linked ones do."""
+        same = (a("pivot") == b("pivot")) & (a("token") == b("token")) & (a("root") != b("root"))
+        found = rows.alias("a").join(partners.alias("b"), same & fits & ~elsewhere).select(*pair).distinct()
+        return found.join(known.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), ["u", "v"], "left_anti")
+
+    for first in (True, False):
+        rows = tables.written(labelled(index.drop("root")), "rooted-differences")
+        rows = rows.join(rows.groupBy("pivot", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("apart").alias("any"), F.min(F.struct(~F.col("apart"), "size", "id")).alias("one")).where("any and lo <> hi").select("pivot", "token", F.col("one.id").alias("one")), ["pivot", "token"])
+        rows = tables.written(rows, "open-differences")
+        found = counted(sharing(rows, rows.where("id = one")) if first else sharing(rows, rows.where("apart")))
         known = known.unionByName(found)
-        return found
-
-    merged(known.where(linked_).select("u", "v"))
-
-    # Members of a pivot's group that settles some and holds some of another component (apart): what they share with the
-    # pivot (i), and have besides (e). A link of a settled member may lead to one that this pivot doesn't settle.
-    group = known.where(similarity >= wide - 1e-9).select(F.col("u").alias("pivot"), F.col("v").alias("id"), F.col("nv").alias("n"), F.col("shared").alias("i"), (F.col("nv") - F.col("shared")).alias("e"))
-    group = labelled(group).join(roots.select(F.col("id").alias("pivot"), F.col("root").alias("head")), "pivot", "left")
-    group = group.join(reduce(DataFrame.unionByName, settles).distinct().withColumn("settled", F.lit(True)), ["pivot", "id"], "left")
-    group = group.withColumns({"settled": F.col("settled").isNotNull(), "apart": F.col("root") != F.coalesce("head", "pivot")})
-    mixed = group.groupBy("pivot").agg(F.count("*").alias("members"), F.max("apart").alias("any"), F.max("settled").alias("some")).where("any and some").select("pivot", "members")
-    group = written(group.join(mixed, "pivot").select("pivot", "members", "id", "n", "i", "e", "root", "apart", "settled"), "groups")
-    few = group.where(F.col("members") <= exhaustive).join(classes.select("id", *S), "id")
-    possible = F.least(a("i"), b("i")) + F.least(a("e"), b("e"))
-    fits = possible * 100 >= (a("n") + b("n") - possible) * percent
-    inside = few.where("apart").alias("a").join(few.alias("b"), (a("pivot") == b("pivot")) & (a("root") != b("root")) & (a("settled") | b("settled")) & fits & within(limit)).select(*pair)
-    many = group.where(F.col("members") > exhaustive).select("pivot", "id", "n", "root", "apart", "settled")
-    inside = inside.unionByName(sharing_differences(many, reduce(DataFrame.unionByName, sets), percent))
-    merged(examined(inside).where(linked_).select("u", "v"))
-    apart = labelled(open_).alias("a").join(labelled(placed).alias("b"), (a("node") == b("node")) & (a("root") != b("root")) & within(limit)).select(*pair)
-    merged(examined(apart).where(linked_).select("u", "v"))
+        merged(found)
+
+    # 3. Small nodes.
+    open_ = tables.written(labelled(open_), "open-members")
+    inside = open_.alias("a").join(open_.alias("b"), (a("node") == b("node")) & (a("id") < b("id")) & (a("root") != b("root")) & _passes(limit)).select(*pair).distinct()
+    merged(counted(inside.join(known.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), ["u", "v"], "left_anti")))
 
     rooted = classes.join(roots, "id", "left").select("hi", "lo", "doc_id", "copies", F.coalesce("root", "id").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("size")).where("size > 1")
-    shared = rooted.join(groups, "root").select("hi", "lo", "component_id")
+    shared = tables.written(rooted.join(groups, "root").select("hi", "lo", "component_id"), "components-of-sets")
+    tables.close(sketches, shared)
     told = sketches.select("doc_id", "text_key", "n_shingles", "hi", "lo").join(shared, ["hi", "lo"], "left")
     told = told.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
     return told.select("doc_id", "text_key", "n_shingles", "component_id", F.equal_null("doc_id", "component_id").alias("kept"))
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, unchanged: one document of each group, the one of least id."""
-    key = free_name("gone_key", *docs.columns)
-    gone = written(near_duplicates(docs, words, percent).where("not kept").select(F.xxhash64("doc_id", "text_key").alias(key)).distinct(), "near-duplicates")
-    return docs.join(gone, F.xxhash64(docs["doc_id"].cast("long"), F.xxhash64(docs["text"])) == gone[key], "left_anti")
+    """The rows of docs, unchanged: one document of each group, the one of least id; of rows repeated with it, one."""
+    id_, key, n = (free_name(c, *docs.columns) for c in ("dedup_id", "dedup_key", "dedup_rows"))
+    told = near_duplicates(docs, words, percent).groupBy(F.coalesce("doc_id", F.lit(-1 << 63)).alias(id_), F.col("text_key").alias(key))
+    told = written(told.agg(F.max("kept").alias("kept"), F.count("*").alias(n)).where(f"not kept or {n} > 1").select(id_, key, F.when(F.col("kept"), F.col(n)).otherwise(0).alias(n)), "near-duplicates")
+    keyed = docs.withColumns({id_: F.coalesce(docs["doc_id"].cast("long"), F.lit(-1 << 63)), key: F.xxhash64(docs["text"])}).join(if_small(told), [id_, key], "left")
+    kept = keyed.where(F.col(n).isNull())
+    if told.where(F.col(n) > 1).take(1):
+        kept = kept.unionByName(keyed.where(F.col(n) > 1).dropDuplicates([id_, key]))
+    return kept.select(*docs.columns)
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

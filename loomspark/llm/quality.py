@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspark.llm._store import free_name, written
-from loomspark.llm._text import SPACED_WORD, U64, SubstringHash, byte_table, mix, ngram_hash, pieces, runs, sums, whole
+from loomspark.llm._text import SPACED_WORD, U64, byte_table, mix, ngram_hash, pieces, run_hashes, runs, sums, whole
 
 SYMBOL = byte_table(b"#*$%&|<>")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -48,21 +48,21 @@ def measure(d: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     """MEASURES of each text of a buffer."""
     member = SPACED_WORD[d]
     start, end, word_off = runs(member, off)
-    substring = SubstringHash(d)
     n_words = np.diff(word_off)
     triples = np.flatnonzero(whole(word_off, 3))
     doc_of_word = np.repeat(np.arange(len(n_words)), n_words)
-    keys = ngram_hash(substring(start, end), 3)[triples] ^ mix(doc_of_word[triples].astype(U64) + U64(1))
+    keys = ngram_hash(run_hashes(d[member], end - start), 3)[triples] ^ mix(doc_of_word[triples].astype(U64) + U64(1))
     twice = triples[_first_of(keys)[0] >= 2]
     repeated = np.zeros(len(start), bool)
     for i in range(3):
         repeated[twice + i] = True
     words_before = np.concatenate([[0], np.cumsum(member)])
-    a, b, line_off = runs(d != 10, off)
+    in_line = d != 10
+    a, b, line_off = runs(in_line, off)
     some = words_before[b] > words_before[a]
     doc_of_line = np.repeat(np.arange(len(n_words)), np.diff(line_off))
     again = np.zeros(len(a), bool)
-    again[some] = ~_first_of(substring(a[some], b[some]) ^ mix(doc_of_line[some].astype(U64) + U64(1)))[1]
+    again[some] = ~_first_of(run_hashes(d[in_line], b - a)[some] ^ mix(doc_of_line[some].astype(U64) + U64(1)))[1]
     return [n_words, sums(member & ((d & 0xC0) != 0x80), off), sums(SYMBOL[d], off), sums(again, line_off), sums(repeated, word_off)]
 
 

@@ -89,7 +89,7 @@ def _windows(length: int):
                 which = np.repeat(np.arange(len(n)), n)
                 step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 start = off[which] + step
-                one, two = SubstringHash(d), SubstringHash(d, 2)
+                one, two = SubstringHash(d), SubstringHash(d, 1)
                 place = batch.column(1)[rows].to_numpy()[which] + step
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows].take(pa.array(which)), pa.array(place), batch.column(3)[rows].take(pa.array(which)), *(pa.array(h(start, start + length).view(np.int64)) for h in (one, two))], ["id", "at", "open", "h1", "h2"])
 

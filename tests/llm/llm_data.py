@@ -47,3 +47,9 @@ def awkward_rows() -> list[tuple]:
     return rows
 
 
+
+
+def opposite_words() -> tuple[str, str]:
+    """Two different words of 1,024 letters that polynomial hashes modulo a power of two can't tell apart."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    return a, a.translate(str.maketrans("ab", "ba"))

@@ -1,7 +1,7 @@
 import random
 import re
 
-from llm_data import SHAPE, awkward_rows, edited, prose
+from llm_data import SHAPE, awkward_rows, edited, opposite_words, prose
 
 from loomspark.llm.neardup import near_dedup, near_duplicates, op3_minhash_neardup
 
@@ -61,8 +61,7 @@ def test_groups_of_drifting_copies_match_brute_force(spark):
     for i in range(60):
         add(prose(20_000 + i, 60))
     df = spark.createDataFrame(rows, SHAPE)
-    for exhaustive in (256, 1):
-        assert got(near_duplicates(df, 3, 85, exhaustive)) == brute(rows, 3, 85)
+    assert got(near_duplicates(df, 3, 85)) == brute(rows, 3, 85)
     kept = {r.doc_id for r in near_dedup(df).collect()}
     assert kept == {c for _, _, c in brute(rows, 5, 80)}
 
@@ -96,3 +95,39 @@ def test_chains_of_drifting_versions_match_brute_force(spark):
         wanted += brute(own, 3, 85)
     found = got(near_duplicates(spark.createDataFrame(rows, SHAPE), 3, 85))
     assert found == sorted(wanted, key=str)
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    a, b = opposite_words()
+    rows = [(1, f"{a} q r", "en", "a", 1), (2, f"{b} q r", "en", "a", 1), (3, f"{a} q r", "en", "a", 1)]
+    assert got(near_duplicates(spark.createDataFrame(rows, SHAPE), 3, 85)) == brute(rows, 3, 85)
+
+
+def test_copies_of_edited_copies_match_brute_force(spark):
+    """One text, variants of it beyond the threshold, and many copies of each: popular differences, few of them links."""
+    rows, base = [], prose(77, 120)
+    for v in range(6):
+        variant = edited(base, v, 0.2 * (v > 0))
+        rows += [(1000 * v + i, edited(variant, 100 * v + i, (0.0, 0.01, 0.04, 0.07)[i % 4]), "en", "a", 1) for i in range(60)]
+    for percent, words in ((85, 3), (80, 5)):
+        assert got(near_duplicates(spark.createDataFrame(rows, SHAPE), words, percent)) == brute(rows, words, percent)
+
+
+def test_recall_of_all_pairs_of_driver_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    component = {r.doc_id: r.component_id for r in op3_minhash_neardup(spark, "/root/testdata/sf0.01").collect()}
+    sets = {r.doc_id: s for r in docs.select("doc_id", "text").collect() if (s := shingles(r.text, 3))}
+    holders = {}
+    for d, s in sets.items():
+        for t in sorted(s, key=hash)[: len(s) - -(-85 * len(s) // 100) + 1]:  # one order of all shingles: a linked pair shares one of these
+            holders.setdefault(t, []).append(d)
+    pairs = {(x, y) for own in holders.values() for x in own for y in own if x < y}
+    linked = [(x, y) for x, y in pairs if 100 * (both := len(sets[x] & sets[y])) >= 85 * (len(sets[x]) + len(sets[y]) - both)]
+    found = sum(component[x] == component[y] for x, y in linked)
+    print(f"recall: {found} of {len(linked)} linked pairs")
+    assert len(linked) > 100 and found >= 0.9 * len(linked)
+
+
+def test_one_of_rows_repeated_in_whole_stays(spark):
+    rows = [(5, prose(1, 60), "en", "a", 1)] * 3 + [(6, prose(1, 60), "en", "a", 1), (7, prose(2, 60), "en", "a", 1), (8, None, "en", "a", 1), (8, None, "en", "a", 1)]
+    assert sorted(r.doc_id for r in near_dedup(spark.createDataFrame(rows, SHAPE)).collect()) == [5, 7, 8]
