@@ -5,12 +5,14 @@ each automaton into the longest phrases that occur in the sample; the language t
 by the logarithm of its sample's length, wins. All blocks of a batch of texts are parsed in lockstep, one character a
 step, so the whole text counts and the cost is a few array operations per character and language.
 
-The sample is bounded by ``SAMPLE_TEXTS`` excerpts of ``EXCERPT`` characters a language, chosen by a hash of the id among
-all training rows; everything else covers all rows and whole texts. Texts are parsed in blocks of ``BLOCK`` characters; a
-phrase ends with its block, or with a letter that is in no sample.
+The sample is bounded by twice ``SAMPLE_TEXTS`` excerpts of ``EXCERPT`` characters a language, chosen by a hash of id and text
+among all training rows; everything else covers all rows and whole texts. An automaton keeps every letter of its sample,
+however many there are. Texts are parsed in blocks of ``BLOCK`` characters; a phrase ends with its block, or with a letter
+that isn't in the sample, which counts as a phrase of its own.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, and so is every text if no row is labelled;
-ties go to the language that comes first by name; repeated rows are predicted alike; an empty table gives no rows;
+ties go to the language that comes first by name; a very long text is parsed
+block by block; repeated rows are predicted alike and are one row of the sample; an empty table gives no rows;
 other columns are not read.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from loomspark.llm._text import pieces
 
 SAMPLE_TEXTS, EXCERPT = 48, 400
-BLOCK, ALPHABET = 2048, 64
+BLOCK, DENSE = 2048, 64
 PIECE = 1 << 23
 
 
@@ -63,51 +65,71 @@ def automaton(text: str) -> list[dict[str, int]]:
     return step
 
 
+class Automaton:
+    """The suffix automaton of a sample over letter numbers: ways on its ``DENSE`` most frequent letters in a table, others sorted."""
+
+    def __init__(self, text: str, code: dict[str, int]):
+        seen: dict[str, int] = {}
+        for c in text:
+            seen[c] = seen.get(c, 0) + 1
+        frequent = {c: i + 1 for i, c in enumerate(sorted(seen, key=lambda c: (-seen[c], c))[: DENSE - 1])}
+        self.column = np.zeros(len(code) + 1, np.uint8)  # 0: not in the table
+        for c, i in frequent.items():
+            self.column[code[c]] = i
+        self.letters = len(code) + 1
+        self.rare = np.zeros(self.letters, bool)
+        states = automaton(text)
+        table, keys, ends = np.zeros((len(states), DENSE), np.int32), [], []  # 0: no way on
+        for i, ways in enumerate(states):
+            for c, to in ways.items():
+                if c in frequent:
+                    table[i, frequent[c]] = to * DENSE
+                else:
+                    self.rare[code[c]] = True
+                    keys.append(i * self.letters + code[c])
+                    ends.append(to * DENSE)
+        order = np.argsort(np.array(keys, np.int64))
+        self.table, self.keys, self.ends = table.ravel(), np.array(keys, np.int64)[order], np.array(ends, np.int32)[order]
+
+    def onward(self, state: np.ndarray, letter: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """Where the letters lead from the states (in units of table rows); 0 if nowhere."""
+        here = self.table[state + column]
+        if len(self.keys) and len(at := np.flatnonzero(self.rare[letter])):
+            wanted = (state[at] // DENSE).astype(np.int64) * self.letters + letter[at]
+            i = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            here[at] = np.where(self.keys[i] == wanted, self.ends[i], 0)
+        return here
+
+
 class Parser:
-    """The automata of all languages in one table over a common alphabet."""
+    """The automata of all languages; each keeps every letter of its sample."""
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.names = [name for name, _ in samples]
-        seen: dict[str, int] = {}
-        for _, text in samples:
-            for c in text:
-                seen[c] = seen.get(c, 0) + 1
-        letters = sorted(seen, key=lambda c: (-seen[c], c))[: ALPHABET - 1]
-        self.number = np.zeros(sys.maxunicode + 1, np.uint8)  # 0: in no automaton
-        for i, c in enumerate(letters):
-            self.number[ord(c)] = i + 1
-        code = {c: i + 1 for i, c in enumerate(letters)}
-        tables, self.start = [], []
-        at = 0
-        for _, text in samples:
-            states = automaton("".join(c for c in text if c in code))
-            table = np.zeros((len(states), ALPHABET), np.int32)  # 0: no way on
-            for i, ways in enumerate(states):
-                for c, to in ways.items():
-                    table[i, code[c]] = (at + to) * ALPHABET
-            tables.append(table)
-            self.start.append(at * ALPHABET)
-            at += len(states)
-        self.table = np.concatenate(tables).ravel()
+        code = {c: i + 1 for i, c in enumerate(sorted({c for _, text in samples for c in text}))}
+        self.kind = np.uint8 if len(code) < 256 else np.int32
+        self.number = np.zeros(sys.maxunicode + 1, self.kind)  # 0: in no sample
+        for c, i in code.items():
+            self.number[ord(c)] = i
+        self.automata = [Automaton(text, code) for _, text in samples]
         self.weight = np.array([math.log2(len(text) + 2) for _, text in samples])
 
     def phrases(self, blocks: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Phrases by language and block; blocks[i] is the i-th letter of each, by falling length."""
         count = np.zeros((len(self.names), len(lens)), np.int64)
         active = np.searchsorted(-lens, -np.arange(len(blocks)), "left")  # blocks longer than i
-        for k, root in enumerate(self.start):
-            state, own = np.full(len(lens), root, np.int32), count[k]
+        for k, own_automaton in enumerate(self.automata):
+            columns = own_automaton.column[blocks]
+            state, own = np.zeros(len(lens), np.int32), count[k]
             for i in range(len(blocks)):
                 m = active[i]
-                letter = blocks[i, :m]
-                here = self.table[state[:m] + letter]
+                here = own_automaton.onward(state[:m], blocks[i, :m], columns[i, :m])
                 stuck = np.flatnonzero(here == 0)
                 if len(stuck):
                     own[stuck] += 1
-                    again = self.table[root + letter[stuck].astype(np.int32)]
-                    here[stuck] = np.where(again == 0, root, again)
+                    here[stuck] = own_automaton.onward(np.zeros(len(stuck), np.int32), blocks[i, stuck], columns[i, stuck])
                 state[:m] = here
-            own += 1
+            own += state != 0
         return count
 
 
@@ -128,7 +150,7 @@ def costs(model: Parser, texts: list[str]) -> np.ndarray:
     order = np.argsort(-size, kind="stable")
     doc, begin, size = doc[order], begin[order], size[order]
     letters = model.number[flat]
-    blocks = np.zeros((int(size[0]) if len(size) else 0, len(size)), np.uint8)
+    blocks = np.zeros((int(size[0]) if len(size) else 0, len(size)), model.kind)
     for j in range(len(size)):
         blocks[: size[j], j] = letters[begin[j] : begin[j] + size[j]]
     found = model.phrases(blocks, size)
@@ -150,7 +172,7 @@ def _predict(samples: tuple[tuple[str, str], ...]):
 
 
 def training_sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS, excerpt: int = EXCERPT) -> tuple[tuple[str, str], ...]:
-    """Text by language from (doc_id, text, lang): at most about 2 * texts excerpts of each, whatever the number of rows."""
+    """Text by language from (doc_id, text, lang): at most about 2 * texts different excerpts of each, whatever the number of rows."""
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = dict(usable.groupBy("lang").agg(F.count("*").alias("n")).collect())  # a row for each language
     if not counts:
@@ -158,10 +180,11 @@ def training_sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS, excerpt: int
     chance = F.when(F.lit(False), 0.0)
     for lang, n in counts.items():
         chance = chance.when(F.col("lang") == lang, min(1.0, 1.5 * texts / n))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    rows = usable.where(draw < chance).select("lang", "doc_id", F.substring(F.lower("text"), 1, excerpt).alias("text")).collect()  # bounded by texts
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30))
+    rows = usable.where(draw / float(1 << 30) < chance).select("lang", F.substring(F.lower("text"), 1, excerpt).alias("text"), draw.alias("draw"))
+    rows = rows.groupBy("lang", "text").agg(F.min("draw").alias("draw")).collect()  # bounded by texts: repeated rows are one
     found: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"], r["text"])):
+    for r in sorted(rows, key=lambda r: (r["lang"], r["draw"], r["text"])):
         found.setdefault(r["lang"], []).append(r["text"])
     return tuple((lang, "\n".join(own[: 2 * texts])) for lang, own in sorted(found.items()))
 

@@ -31,8 +31,36 @@ def test_phrases_match_substring_search():
         found = costs(model, texts) / model.weight
         for i, text in enumerate(texts):
             for k, (_, sample) in enumerate(samples):
-                exact = greedy(text, sample)
-                assert exact <= found[i, k] <= exact + 1 + len(text) // BLOCK, (text, sample)
+                assert round(found[i, k], 6) == greedy(text, sample), (text, sample)
+
+
+def scripts() -> dict[str, str]:
+    """A sample of each of five scripts, two of them of 300 letters."""
+    draw = np.random.default_rng(5)
+    alphabets = {"el": range(0x3B1, 0x3C9), "en": range(0x61, 0x7B), "ja": range(0x3041, 0x3041 + 80), "ru": range(0x430, 0x450), "zh": range(0x4E00, 0x4E00 + 300)}
+    alphabets["ja"] = [*alphabets["ja"], *range(0x4F00, 0x4F00 + 220)]
+    return {name: " ".join("".join(chr(c) for c in draw.choice(list(a), int(draw.integers(2, 8)))) for _ in range(150)) for name, a in alphabets.items()}
+
+
+def test_many_scripts_match_brute_force(spark):
+    """Every letter of every sample counts: a sample's own text, and mixtures, are predicted as by substring search."""
+    own = scripts()
+    samples = tuple(sorted(own.items()))
+    texts = list(own.values()) + [own[a][:k] + " " + own[b][::-1][:90] for a in own for b in own for k in (40, 300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = {r.doc_id: r for r in predict_language(docs, samples, docs["doc_id"]).collect()}
+    for i, text in enumerate(texts):
+        cost = [greedy(text, sample) * np.log2(len(sample) + 2) for _, sample in samples]
+        best = int(np.argmin(cost))
+        assert told[i].lang_pred == samples[best][0]
+        assert abs(told[i].score - 1 / cost[best] / sum(1 / c for c in cost)) < 1e-9
+    assert [told[i].lang_pred for i in range(5)] == list(own)
+
+
+def test_a_row_repeated_often_is_one_row_of_the_sample(spark):
+    rows = [(7, "the same text", "en")] * 500 + [(100 + i, f"text number {i}", "en") for i in range(300)]
+    sample = training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sample[0][1].split("\n").count("the same text") <= 1
 
 
 def test_held_out_accuracy(spark):
