@@ -1,10 +1,13 @@
 import hashlib
+import math
 import random
 import re
+import time
+from collections import Counter
 
 from llm_data import SHAPE, awkward_rows, prose
 
-from loomspark.llm.pii import op2_pii_sanitisation, pii_spans, sanitise
+from loomspark.llm.pii import CONTEXT, DISCLOSURE, op2_pii_sanitisation, pii_spans, sanitise
 
 RULES = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
@@ -46,6 +49,64 @@ def test_random_strings_match_brute_force(spark):
     agree(pii_spans(spark.createDataFrame(rows, SHAPE)).collect(), rows)
 
 
+def terms(rows):
+    """The term spans of each row, by the definition."""
+    told, df_term, df_entity, both = [], Counter(), Counter(), Counter()
+    for _, text, *_ in rows:
+        spans = [(m.start(), m.end(), (k, m[0])) for k, (_, p, ok) in enumerate(RULES) for m in re.finditer(p, text) if ok(m[0])]
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]{3,}", text)]
+        free = [w for w in words if not any(a < w[1] and w[0] < b for a, b, _ in spans)]
+        near = {(e, t) for x, y, t in free for a, b, e in spans if a - CONTEXT <= x and y <= a or b <= x and y <= b + CONTEXT}
+        df_term.update({t for *_, t in words})
+        df_entity.update({e for *_, e in spans})
+        both.update(near)
+        told.append((free, {e for *_, e in spans}))
+    n = len(rows)
+    pairs = {(e, t) for (e, t), c in both.items() if (own := math.log(n / df_entity[e])) > 0 and math.log(c * n / (df_entity[e] * df_term[t])) >= DISCLOSURE * own - 1e-12}
+    return [sorted((x, y) for x, y, t in free if any((e, t) in pairs for e in held)) for free, held in told]
+
+
+def test_term_spans_match_brute_force(spark):
+    draw, rows = random.Random(8), []
+    for i in range(150):
+        bits = prose(i, 40).split()
+        for _ in range(draw.choice([0, 0, 1, 2, 3])):
+            at, k = draw.randrange(len(bits)), draw.randrange(40)
+            bits[at:at] = [draw.choice([f"Name{k}", f"Name{k}", "name of", f"Boss{k % 3}x"]), (f"p{k}@site{k % 4}.org", f"10.0.0.{k}", f"+49 30 123456{k:02}")[k % 3]]
+        rows.append((i, " ".join(bits) + draw.choice(["", " Name3 at last"]), "en", "a", 1))
+    rows += rows[:5]
+    found = Counter((r.doc_id, ",".join(x for x in r.spans.split(",") if x.startswith("term"))) for r in pii_spans(spark.createDataFrame(rows, SHAPE)).collect())
+    wanted = Counter((r[0], ",".join(f"term:{a}:{b}" for a, b in own)) for r, own in zip(rows, terms(rows), strict=True))
+    assert found == wanted and sum(bool(k[1]) for k in wanted) > 20
+
+
+def test_very_many_matches_in_one_text(spark):
+    """100,000 addresses in one text take seconds, and all of them go."""
+    text = " ".join(f"user{i}@host{i % 977}.example" for i in range(100_000))
+    df = spark.createDataFrame([(1, text, "en", "a", len(text)), (2, prose(1, 50), "en", "a", 1)], SHAPE)
+    began = time.time()
+    told = {r.doc_id: r for r in pii_spans(df).collect()}
+    assert told[1].n_email == 100_000 and told[1].spans.startswith("email:0:19,email:20:")
+    clean = {r.doc_id: r.text for r in sanitise(df).collect()}
+    assert clean[1] == " ".join(["<EMAIL>"] * 100_000) and clean[2] == prose(1, 50)
+    assert time.time() - began < 90
+
+
+def test_sanitised_text_is_cut_where_spans_are(spark):
+    draw, rows = random.Random(9), []
+    for i in range(60):
+        rows.append((i, " ".join(draw.choice([prose(j, 9), "é😀" * draw.randrange(40), f"a{j}@b.example", "4111 1111 1111 1111", "+49 30 1234567 10.1.2.3"]) for j in range(draw.randrange(1, 300))), "en", "a", 1))
+    df = spark.createDataFrame(rows, SHAPE)
+    spans = {r.doc_id: [(int(a), int(b), k) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)] for r in pii_spans(df).collect()}
+    for r in sanitise(df).collect():
+        text, out, at = rows[r.doc_id][1], [], 0
+        for a, b, kind in spans[r.doc_id]:
+            if a >= at:
+                out += [text[at:a], f"<{kind.upper()}>"]
+            at = max(at, b)
+        assert r.text == "".join(out) + text[at:] and r.n_chars == (len(r.text) if spans[r.doc_id] else 1)
+
+
 def test_terms_that_disclose_an_entity(spark):
     """A word that occurs only next to one address gives it away; common words don't."""
     rows = [(i, f"{prose(i, 12)} Please ask Zorblatt at z@corp.example today {prose(99 + i, 12)}", "en", "a", 1) for i in range(4)]
