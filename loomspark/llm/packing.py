@@ -2,17 +2,19 @@
 
 Lengths are integers up to the capacity, so an instance is its histogram: at most ``capacity`` counts, whatever the
 number of documents. The plan is made on that histogram on the driver: sets of two or three lengths that provably
-dominate every other way to fill a sequence holding the same largest length are fixed, with their multiplicity; the rest
-is packed by best-fit decreasing, again with multiplicities. Its size depends on the capacity alone. Pieces are then
-numbered within their length, in parallel buckets, and look up their place in the plan.
-
-Edge cases: a null or empty text is its separator alone; repeated rows are packed as often as they occur; an empty table
-gives no rows; other columns are not read. A document longer than a sequence is cut into full sequences, and its first
-piece has what remains.
+dominate every other way to fill a sequence holding one of them are fixed, with their multiplicity; the rest is packed by
+best-fit decreasing, again with multiplicities. What is fixed is part of some best packing; what best fit packs may take
+more sequences than needed. The plan's size depends on the capacity alone. Pieces are then numbered within their length,
+in parallel buckets, and look up their place in the plan.
+
+Edge cases: a null or empty text is its separator alone; repeated rows are packed as often as they occur; pieces of equal
+length are alike, so their order is of no account; an empty table gives no rows; other columns are not read. A document
+longer than a sequence is cut into full sequences, and its first piece has what remains.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
@@ -32,7 +34,12 @@ Pattern = tuple[int, list[tuple[int, int]]]
 
 
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], dict[int, int]]:
-    """Sets fixed by dominance, and the counts that remain. Whatever is fixed is part of some best packing."""
+    """Sets fixed by dominance, and the counts that remain. Whatever is fixed is part of some best packing.
+
+    A set dominates another if the other's members can be dealt into groups, none larger than the member of the first that
+    takes its place. For a length, a set of it and at most two more is fixed if it dominates every set with that length that
+    fits; where three more may fit besides it, nothing is fixed.
+    """
     left = {k: n for k, n in counts.items() if n > 0}
     lengths = sorted(left)
     fixed: list[Pattern] = []
@@ -73,6 +80,8 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Pat
             if small[0] + small[1] > room:  # one more at most: the largest that fits
                 pack(top, a)
                 continue
+            if small[0] + small[1] + small[2] <= room:  # three more may fit: nothing proven about them
+                break
             best, deepest = 0, 0  # the largest sum of two that fit, and the largest lesser part
             for y in lengths:
                 if 2 * y > room:
@@ -84,17 +93,15 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Pat
                 x = largest(room - y, used)
                 if x >= y:
                     best, deepest = max(best, x + y), y
-            if best <= a:  # the largest alone dominates any two
+            if best <= a:  # the largest alone dominates any two, and more than two don't fit
                 pack(top, a)
                 continue
-            if small[0] + small[1] + small[2] > room:  # two more at most
-                used = {top: 1}
-                used[a] = used.get(a, 0) + 1
-                c = largest(room - a, used)
-                if c and deepest <= c:  # the largest two, part by part, dominate any two
-                    pack(top, a, c)
-                    continue
-            break
+            used = {top: 1}
+            used[a] = used.get(a, 0) + 1
+            c = largest(room - a, used)
+            if not c or deepest > c:
+                break
+            pack(top, a, c)  # the largest two, part by part, dominate any two
     return fixed, left
 
 
@@ -180,17 +187,22 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 1000) -> DataFrame:
-    """Adds sequence_id and offset to pieces, a table that is cheap to read more than once.
+    """Adds sequence_id and offset to pieces, a written table with a column ``salt`` that tells its rows apart.
 
-    A length that many pieces share is numbered in as many buckets as keep each under about ``bucket_rows``.
+    A length that many pieces share is numbered in as many buckets as keep each under about ``bucket_rows``; the buckets'
+    sizes are summed up in two steps, each over about the square root of their number.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     buckets = 1 + max(counts.values(), default=0) // bucket_rows
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = sizes.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    ranked = dealt.withColumn("place", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    wide = math.isqrt(buckets) + 1
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("salt"), F.lit(buckets)).cast("int")).withColumn("shelf", F.expr(f"cast(floor(bucket / {wide}) as int)"))
+    sizes = dealt.groupBy("length", "shelf", "bucket").agg(F.count("*").alias("n"))
+    in_shelf = sizes.select("length", "shelf", "bucket", (F.sum("n").over(Window.partitionBy("length", "shelf").orderBy("bucket")) - F.col("n")).alias("within"))
+    shelves = dealt.groupBy("length", "shelf").agg(F.count("*").alias("n"))
+    shelves = shelves.select("length", "shelf", (F.sum("n").over(Window.partitionBy("length").orderBy("shelf")) - F.col("n")).alias("ahead"))
+    before = in_shelf.join(shelves, ["length", "shelf"]).select("length", "bucket", (F.col("within") + F.col("ahead")).alias("before"))
+    ranked = dealt.withColumn("place", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("salt")) - 1)
     ranked = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("place") + F.col("before"))
     places = spark.createDataFrame(plan(counts, capacity), "length long, lo long, hi long, first long, each long, at long")
     # The plan's size depends on the capacity alone.
@@ -201,7 +213,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 1000) -
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
     """All documents in as few sequences as the plan finds, one row for each piece."""
-    return pack(written(token_pieces(docs, tokenizer, capacity, separator), "token-pieces"), capacity)
+    pieces = token_pieces(docs, tokenizer, capacity, separator).withColumn("salt", F.monotonically_increasing_id())
+    return pack(written(pieces, "token-pieces"), capacity)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

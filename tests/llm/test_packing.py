@@ -2,13 +2,14 @@ import random
 import zlib
 from collections import defaultdict
 from functools import lru_cache
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pytest
 from llm_data import awkward_rows
 
 from loomspark.llm._tokens import default_tokenizer
-from loomspark.llm.packing import op6_best_fit_packing, plan
+from loomspark.llm.packing import op6_best_fit_packing, pack, plan, reduce_by_dominance
 
 
 def tokens():
@@ -96,5 +97,34 @@ def test_plans_are_lawful_and_nearly_optimal(seed):
             used[first + (rank - lo) // each] += k
             places[k] += 1
     assert dict(places) == counts and max(used.values()) <= capacity
-    best = optimal(items, capacity)
-    assert len(used) <= best + (low < 6)  # where three of a kind don't fit, dominance decides everything
+    assert len(used) <= optimal(items, capacity) + (low < 6)  # best fit may take one more where dominance decides little
+
+
+def fixed_is_optimal(items, capacity=20):
+    fixed, left = reduce_by_dominance({k: items.count(k) for k in set(items)}, capacity)
+    rest = [k for k, n in left.items() for _ in range(n)]
+    assert sorted(rest + [k for times, own in fixed for k, n in own for _ in range(n * times)]) == sorted(items)
+    assert sum(times for times, _ in fixed) + (optimal(rest, capacity) if rest else 0) == optimal(items, capacity), items
+    return len(fixed)
+
+
+def test_what_dominance_fixes_is_part_of_a_best_packing():
+    """Exactly, over every instance of seven of these lengths, and over random ones."""
+    fixed_is_optimal([10, 8, 8, 4, 3, 3, 3])
+    assert sum(fixed_is_optimal(list(own)) for own in combinations_with_replacement((3, 4, 6, 7, 8, 9, 10), 7)) > 0
+    draw = random.Random(3)
+    for _ in range(1500):
+        low = draw.choice([1, 2, 3, 4, 5])
+        fixed_is_optimal([draw.randint(low, 14) for _ in range(draw.randint(1, 9))])
+
+
+def test_buckets_of_one_length_number_its_pieces_without_gaps(spark):
+    """A length that most pieces share, rows repeated in whole among them."""
+    rows = [(i % 7, 0, 0, 100, 1, i) for i in range(900)] + [(i, 0, 0, 500 + i % 90, 1, 1000 + i) for i in range(400)]
+    found = pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"), 2048, 5).collect()
+    places = defaultdict(list)
+    for r in found:
+        places[r.sequence_id].append((r.offset, r.length))
+    assert len(found) == len(rows) and all(sum(m for _, m in own) <= 2048 for own in places.values())
+    for own in places.values():
+        assert [o for o, _ in sorted(own)] == [sum(m for _, m in sorted(own)[:i]) for i in range(len(own))]
