@@ -2,11 +2,12 @@
 
 Each text is measured once in whole. Four rules are counted by host (the ``source`` of a document): too short, repetitive,
 symbol-heavy and odd word length. For each rule a beta prior is fitted to all hosts by the method of moments; a host
-whose shrunk failure rate of any rule passes ``HOST_LIMIT`` is rejected with all its documents. Only per-host counts, made
-with map-side combination, are shuffled, so a host with a third of all rows costs no more than another.
+whose shrunk failure rate of any rule passes ``HOST_LIMIT`` is rejected with all its documents; one at the limit stays. Only
+per-host counts, made with map-side combination, are shuffled, so a host with a third of all rows costs no more than another.
 
-Edge cases: a null or empty text has no words and fails the base; a null source is a host of its own; repeated rows count
-as often as they occur; an empty table gives no rows; other columns are not read, whatever their names.
+Edge cases: a null or empty text has no words and fails the base; a very long text is measured in whole; a null source is a
+host of its own, apart from an empty one; repeated rows count as often as they occur; an empty table gives no rows; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,15 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.llm._store import free_name, written
+from loomspark.llm._store import free_name, if_small, written
+from loomspark.llm.priors import PRIOR_WEIGHT, prior_weight
 from loomspark.llm._text import SPACED_WORD, U64, byte_table, mix, ngram_hash, pieces, run_hashes, runs, sums, whole
 
 SYMBOL = byte_table(b"#*$%&|<>")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: A host is rejected beyond this shrunk failure rate of a rule.
 HOST_LIMIT = 0.6
-#: Bounds of the prior's weight, in documents.
-PRIOR_WEIGHT = (2.0, 1000.0)
 
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 RULES = {
@@ -84,48 +84,49 @@ def annotate(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 def host_rates(measured: DataFrame, host: str) -> DataFrame:
     """By host: n, failures of each rule, and each rule's shrunk rate."""
-    hosts = measured.groupBy(F.coalesce(host, F.lit("")).alias("host")).agg(F.count("*").alias("n"), *(F.sum(F.expr(f"cast({rule} as long)")).alias(name) for name, rule in RULES.items()))
-    moments = hosts.agg(F.sum("n").alias("n"), *(x for k in RULES for x in (F.sum(k).alias(k), F.avg(F.col(k) / F.col("n")).alias(f"{k}_m"), F.var_pop(F.col(k) / F.col("n")).alias(f"{k}_v")))).first()  # one row
+    hosts = measured.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), *(F.sum(F.expr(f"cast({rule} as long)")).alias(name) for name, rule in RULES.items()))
+    hosts = written(hosts, "quality-counts")
+    sums_ = [x for k in RULES for x in (F.sum(k).alias(k), F.sum(F.col(k) * F.col(k) / F.col("n")).alias(f"{k}_squares"))]
+    all_ = hosts.agg(F.count("*").alias("hosts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sizes"), *sums_).first()  # one row
     for k in RULES:
-        mean = (moments[k] or 0) / moments["n"] if moments["n"] else 0.0
-        m, v = moments[f"{k}_m"] or 0.0, moments[f"{k}_v"] or 0.0
-        weight = min(max(m * (1 - m) / v - 1, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1]) if v > 0 else PRIOR_WEIGHT[1]
+        mean = all_[k] / all_["n"] if all_["n"] else 0.0
+        weight = prior_weight(all_["hosts"], 1, all_["n"], all_[k], all_[f"{k}_squares"], mean * all_[k], all_["sizes"] / all_["n"]) if all_["n"] else 1.0
         hosts = hosts.withColumn(f"{k}_rate", (F.col(k) + weight * mean) / (F.col("n") + weight))
     return hosts
 
 
-def rejected_hosts(measured: DataFrame, host: str, limit: float = HOST_LIMIT) -> DataFrame:
-    """The hosts that a rule's shrunk rate rejects, with their worst rate."""
+def rejected_hosts(measured: DataFrame, host: str, name: str, limit: float = HOST_LIMIT) -> DataFrame:
+    """The hosts that a rule's shrunk rate rejects, as the column name of a written table."""
     rates = host_rates(measured, host).withColumn("host_rate", F.greatest(*(F.col(f"{k}_rate") for k in RULES)))
-    return rates.where(F.col("host_rate") > limit).select("host", "host_rate")
+    return written(rates.where(F.col("host_rate") > limit).select(F.col("host").alias(name)), "quality-hosts")
 
 
 def quality_verdicts(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """Measures, base_failed and kept of each document."""
     found, prefix = annotate(docs, ["doc_id", "source"])
     measured = written(found.withColumnsRenamed({prefix + m: m for m in MEASURES}), "quality")
-    bad = rejected_hosts(measured, "source", limit).select(F.col("host").alias("bad_host"))
-    judged = measured.join(bad, F.coalesce("source", F.lit("")) == F.col("bad_host"), "left")
+    bad = if_small(rejected_hosts(measured, "source", "bad_host", limit).withColumn("bad", F.lit(True)))
+    judged = measured.join(bad, measured["source"].eqNullSafe(bad["bad_host"]), "left")
     failed = F.expr(BASE_FAILED)
-    return judged.select("doc_id", *MEASURES, failed.alias("base_failed"), (~failed & F.col("bad_host").isNull()).alias("kept"))
+    return judged.select("doc_id", *MEASURES, failed.alias("base_failed"), (~failed & F.col("bad").isNull()).alias("kept"))
 
 
 def quality_filter(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of docs, unchanged, that pass. The texts are measured twice, which costs less than shuffling them."""
     found, prefix = annotate(docs, ["source"])
     name = free_name("bad_host", *docs.columns)
-    bad = rejected_hosts(written(found.withColumnsRenamed({prefix + m: m for m in MEASURES}), "quality"), "source", limit)
-    bad = written(bad.select(F.col("host").alias(name)), "quality-hosts")
+    bad = if_small(rejected_hosts(found.withColumnsRenamed({prefix + m: m for m in MEASURES}), "source", name, limit))
     full, prefix = annotate(docs, docs.columns)
     passed = full.where(f"not ({BASE_FAILED.replace('n_', prefix + 'n_')})")
-    return passed.join(bad, F.coalesce(passed["source"], F.lit("")) == bad[name], "left_anti").select(*docs.columns)
+    return passed.join(bad, passed["source"].eqNullSafe(bad[name]), "left_anti").select(*docs.columns)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-_WEIGHT = "greatest({lo}, least({hi}, coalesce(m.{k}_m * (1 - m.{k}_m) / nullif(m.{k}_v, 0) - 1, {hi})))"
+_LOW, _HIGH = PRIOR_WEIGHT
+_WEIGHT = "(case when m.k <= 1 or m.n <= m.k or m.{k}_b - m.{k}_w <= 1e-12 then {hi} else greatest({lo}, least({hi}, m.n0 * m.{k}_w / (m.{k}_b - m.{k}_w))) end)"
 _RATE = f"(h.{{k}} + {_WEIGHT} * m.{{k}}_p) / (h.n + {_WEIGHT})"
 SQL = f"""
 with w as (select doc_id, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
@@ -137,8 +138,9 @@ dups as (select doc_id, count(*) - count(distinct line) as n_dup_lines from line
 measured as (select doc_id, source, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
     cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
     from w left join covered using (doc_id) left join dups using (doc_id)),
-h as (select coalesce(source, '') as host, count(*) as n, {", ".join(f"count(*) filter ({rule}) as {k}" for k, rule in RULES.items())} from measured group by 1),
-m as (select {", ".join(f"sum({k}) / sum(n) as {k}_p, avg({k} / n) as {k}_m, var_pop({k} / n) as {k}_v" for k in RULES)} from h),
-bad as (select host from h, m where greatest({", ".join(_RATE.format(k=k, lo=PRIOR_WEIGHT[0], hi=PRIOR_WEIGHT[1]) for k in RULES)}) > {HOST_LIMIT})
-select doc_id, {", ".join(MEASURES)}, ({BASE_FAILED}) as base_failed, not ({BASE_FAILED}) and coalesce(source, '') not in (select host from bad) as kept from measured
+h as (select source as host, count(*) as n, {", ".join(f"count(*) filter ({rule}) as {k}" for k, rule in RULES.items())} from measured group by 1),
+m as (select count(*) as k, sum(n) as n, (sum(n) - sum(n * n) / sum(n)) / nullif(count(*) - 1, 0) as n0,
+    {", ".join(f"sum({k}) / sum(n) as {k}_p, (sum({k} * {k} / n) - sum({k}) * sum({k}) / sum(n)) / nullif(count(*) - 1, 0) as {k}_b, (sum({k}) - sum({k} * {k} / n)) / nullif(sum(n) - count(*), 0) as {k}_w" for k in RULES)} from h),
+bad as (select host from h, m where greatest({", ".join(_RATE.format(k=k, lo=_LOW, hi=_HIGH) for k in RULES)}) > {HOST_LIMIT})
+select doc_id, {", ".join(MEASURES)}, ({BASE_FAILED}) as base_failed, not ({BASE_FAILED}) and not exists (select 1 from bad where bad.host is not distinct from measured.source) as kept from measured
 """

@@ -3,7 +3,7 @@ import random
 import re
 from collections import Counter
 
-from llm_data import SHAPE, awkward_rows, prose
+from llm_data import SHAPE, awkward_rows, opposite_words, prose
 
 from loomspark.llm.decontamination import contamination, decontaminate, op7_decontamination
 
@@ -68,3 +68,10 @@ def test_empty(spark, empty, awkward):
     assert op7_decontamination(spark, empty).count() == 0
     docs, none = spark.read.parquet(f"{awkward}/documents.parquet"), spark.read.parquet(f"{empty}/benchmark.parquet")
     assert contamination(docs, none).where("contaminated").count() == 0
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    a, b = opposite_words()
+    docs = [(1, f"x {a} y", "en", "a", 1), (2, f"x {b} y", "en", "a", 1)]
+    df, items = spark.createDataFrame(docs, SHAPE), spark.createDataFrame([(1, b)], "item_id long, text string")
+    assert got(contamination(df, items)) == brute(docs, [(1, b)])

@@ -2,9 +2,10 @@ import random
 import re
 from collections import Counter
 
-from llm_data import SHAPE, awkward_rows, prose
+from llm_data import SHAPE, awkward_rows, opposite_words, prose
 
-from loomspark.llm.quality import op4_quality_rules, quality_filter, quality_verdicts
+from loomspark.llm.priors import PRIOR_WEIGHT
+from loomspark.llm.quality import host_rates, op4_quality_rules, quality_filter, quality_verdicts
 
 
 def exact(text):
@@ -51,3 +52,35 @@ def test_awkward_rows(spark, awkward):
 def test_empty(spark, empty):
     assert op4_quality_rules(spark, empty).count() == 0
     assert quality_filter(spark.read.parquet(f"{empty}/documents.parquet")).count() == 0
+
+
+def test_a_null_host_is_apart_from_an_empty_one(spark):
+    rows = [(i, prose(i, 100), "en", None, 1) for i in range(20)] + [(100 + i, "bad", "en", "", 1) for i in range(400)] + [(600 + i, prose(i, 80), "en", f"h{i % 9}", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, SHAPE)
+    kept = {r.doc_id for r in quality_verdicts(df).where("kept").collect()}
+    assert kept == {*range(20), *range(600, 900)} == {r.doc_id for r in quality_filter(df).collect()}
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    a, b = opposite_words()
+    rows = [(1, f"{a}\n{b}", "en", "s", 1), (2, f"{a} x y {b} x y", "en", "s", 1), (3, f"{a}\n{a}", "en", "s", 1)]
+    agree(quality_verdicts(spark.createDataFrame(rows, SHAPE)).collect(), rows)
+
+
+def test_many_small_hosts_do_not_switch_the_shrinkage_off(spark):
+    """Hosts of one document each differ by chance alone, and one bad document doesn't condemn its host."""
+    rows = [(f"h{i}", 10 if i % 5 == 0 else 100, 0, 0, 500) for i in range(1000)] + [("big", 10 if i % 5 == 0 else 100, 0, 0, 500) for i in range(300)]
+    measured = spark.createDataFrame(rows, "source string, n_words long, n_symbols long, n_repeat_words long, word_chars long")
+    rates = {r.host: r.short_rate for r in host_rates(measured, "source").collect()}
+    assert all(abs(r - 0.2) < 0.01 for r in rates.values())
+    # Hosts of eight, drawn from one rate: little is left of their spread.
+    draw = random.Random(2)
+    rows = [(f"h{i // 8}", 10 if draw.random() < 0.3 else 100, 0, 0, 500) for i in range(4000)]
+    found = host_rates(spark.createDataFrame(rows, measured.schema), "source").collect()
+    assert max(abs(r.short_rate - 0.3) for r in found) < 0.15
+    # Rates drawn from beta(3, 7), of weight 10.
+    rows = [(f"h{i}", 10 if draw.random() < p else 100, 0, 0, 500) for i in range(600) for p in [draw.betavariate(3, 7)] for _ in range(draw.randrange(1, 40))]
+    one = [r for r in host_rates(spark.createDataFrame(rows, measured.schema), "source").collect() if r.n > 20]
+    mean = sum(r[1] == 10 for r in rows) / len(rows)
+    weights = [r.n * (r.short_rate - r.short / r.n) / (mean - r.short_rate) for r in one if abs(mean - r.short_rate) > 0.02]
+    assert PRIOR_WEIGHT[0] < 7 < weights[0] < 14
