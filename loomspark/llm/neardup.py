@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     # Members meet the highest chief of their groups.
     grouped = tables.written(in_groups().join(chief(), "id"), "grouped")
-    highest = grouped.groupBy("pivot").agg(F.max("top").alias("top")).select("pivot", (-F.col("top.order")).alias("u"))
+    highest = tables.written(grouped.groupBy("pivot").agg(F.max("top").alias("top")).select("pivot", (-F.col("top.order")).alias("u")), "highest")
     strays = grouped.join(highest, "pivot").where("u <> id").select("u", F.col("id").alias("v")).distinct().join(known.select("u", "v"), ["u", "v"], "left_anti")
     strays = tables.written(strays, "strays")
     sketched = classes.select("id", "n", *S)
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     group = tables.written(labelled(in_groups()), "in-groups").join(roots.select(F.col("id").alias("pivot"), F.col("root").alias("head")), "pivot", "left")
     group = tables.written(group.withColumn("apart", F.col("root") != F.coalesce("head", "pivot")).drop("head").join(chief().select("id", (-F.col("top.order")).alias("chief")), "id", "left"), "groups")
     active = group.groupBy("pivot").agg(F.max("apart").alias("any"), F.min("chief").alias("lo"), F.max("chief").alias("hi"), F.max(F.col("chief").isNull()).alias("free"))
-    active = active.where("any and (free or lo <> hi or lo = pivot)").select("pivot")
+    active = tables.written(active.where("any and (free or lo <> hi or lo = pivot)").select("pivot"), "active")
     group = tables.written(group.join(active, "pivot"), "active-groups")
     index = tables.written(difference_places(group, reduce(DataFrame.unionByName, sets), percent), "differences")
     index = tables.written(placed_differences(index, tables).join(group.select("pivot", "id", "chief"), ["pivot", "id"]), "difference-places")
@@ -295,8 +295,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     for first in (True, False):
         rows = tables.written(labelled(index.drop("root")), "rooted-differences")
-        rows = rows.join(rows.groupBy("pivot", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("apart").alias("any"), F.min(F.struct(~F.col("apart"), "size", "id")).alias("one")).where("any and lo <> hi").select("pivot", "token", F.col("one.id").alias("one")), ["pivot", "token"])
-        rows = tables.written(rows, "open-differences")
+        open_tokens = rows.groupBy("pivot", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("apart").alias("any"), F.min(F.struct(~F.col("apart"), "size", "id")).alias("one")).where("any and lo <> hi").select("pivot", "token", F.col("one.id").alias("one"))
+        rows = tables.written(rows.join(tables.written(open_tokens, "open-tokens"), ["pivot", "token"]), "open-differences")
         found = counted(sharing(rows, rows.where("id = one")) if first else sharing(rows, rows.where("apart")))
         known = known.unionByName(found)
         merged(found)
@@ -307,7 +307,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     merged(counted(inside.join(known.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), ["u", "v"], "left_anti")))
 
     rooted = classes.join(roots, "id", "left").select("hi", "lo", "doc_id", "copies", F.coalesce("root", "id").alias("root"))
-    groups = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("size")).where("size > 1")
+    groups = tables.written(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("size")).where("size > 1"), "components-of-classes")
     shared = tables.written(rooted.join(groups, "root").select("hi", "lo", "component_id"), "components-of-sets")
     tables.close(sketches, shared)
     told = sketches.select("doc_id", "text_key", "n_shingles", "hi", "lo").join(shared, ["hi", "lo"], "left")
