@@ -1,22 +1,30 @@
 """Removal of repeated byte strings, across and within documents (operator 8).
 
-A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere else. Candidates are narrowed in steps
-that only group and join on hashes, so no group of copies is ever gathered:
+A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere else. The collection's suffixes are sorted
+column by column: each round inserts one symbol of every piece, which gives the next column of the Burrows-Wheeler transform,
+and updates the common prefixes of neighbours (see ``spans.repeated_columns``). The whole collection would need as many
+rounds as its longest document has bytes, so it is first cut into short pieces, of which few are left to compare:
 
 1. every window of LENGTH bytes belongs to a run with one anchor (see ``spans``); a run whose anchor's k-gram is unique
    holds no repeat;
 2. runs equal in whole with another are repeats in whole; one of each kind still stands for them in step 3;
-3. where runs of an anchor differ, they are cut into blocks of ``BLOCK`` windows at fixed distances from the anchor. A
-   block whose common bytes are unique holds no repeat, and one equal in whole with another is a repeat in whole;
-4. what is left are the blocks in which a shared passage begins or ends. Their windows are compared one by one.
+3. the pieces of text of the runs around one anchor are built column-wise, at most 2 * LENGTH - GRAM rounds, in tasks of
+   bounded size. Windows with a common prefix of LENGTH are repeats.
 
-Edge cases: null is empty; texts shorter than LENGTH, and empty tables, lose nothing; repeated rows are each other's
-repeats; a string that overlaps its own copy counts; other columns are not read.
+Where more than ``GROUP`` different runs have one anchor, they are first cut into blocks of ``BLOCK`` windows at fixed
+distances from it, told apart by the bytes that all windows of a block share, and steps 2 and 3 are taken with these; what is
+still more than GROUP is cut into single windows, for which step 2 decides everything. So no group is ever gathered.
+
+Steps 1 and 2 compare hashes modulo the prime 2**61 - 1, two of them where they decide; step 3 compares bytes. The pieces are
+kept in the shared folder as Parquet, read and written in sequence, and each task's columns in its memory.
+
+Edge cases: null is empty; texts shorter than LENGTH, and empty tables, lose nothing; a very long text is as many runs;
+repeated rows are each other's repeats; a string that overlaps its own copy counts; of equal hashes the last place is the
+anchor, in all copies alike; other columns are not read.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -24,74 +32,112 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm._store import delete, fresh_path, written
+from loomspark.llm._store import Tables, if_small
 from loomspark.llm._text import U64, SubstringHash, mix, pieces, utf8
-from loomspark.llm.spans import anchor_runs
+from loomspark.llm.spans import anchor_runs, repeated_columns
 
 LENGTH, GRAM, BLOCK = 200, 32, 32
+#: Different runs of one anchor that are compared in one task, and pieces that a task takes in all.
+GROUP, TASK = 20_000, 50_000
+NO_ID = -1 << 63
+ID = "id struct<d: long, t: long>"
+KIND = ["key", "lo", "hi", "span", "span2"]
+RUN = f"{ID}, at int, lo short, hi short, key long, span long, span2 long"
+
+
+def _fields(id_, at, lo, hi, *hashes) -> tuple[list, list]:
+    """Arrays and names of a row of RUN."""
+    whole = [pa.array(at.astype(np.int32)), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16))]
+    return [id_, *whole, *(pa.array(h.view(np.int64)) for h in hashes)], ["id", "at", *KIND[1:3], KIND[0], *KIND[3:]]
 
 
 def _runs(length: int, gram: int):
+    width = length - gram + 1
+
     def run(batches):
         for batch in batches:
             for rows, d, off in pieces(batch.column(1)):
-                h = SubstringHash(d)
-                doc, lo, hi, p = anchor_runs(d, off, length, gram, h)
-                reach = (lo - p + length) * (2 * length) + (hi - p + length)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[rows].take(pa.array(doc)), pa.array((p - off[doc]).astype(np.int64)), pa.array(reach.astype(np.int32)), pa.array(h(p, p + gram).view(np.int64)), pa.array(h(lo, hi + length).view(np.int64))], ["id", "at", "reach", "key", "span"])
+                one, two = SubstringHash(d), SubstringHash(d, 1)
+                doc, lo, hi, p = anchor_runs(d, off, length, gram)
+                zero = p - (width - 1)
+                yield pa.RecordBatch.from_arrays(*_fields(batch.column(0)[rows].take(pa.array(doc)), lo - off[doc], lo - zero, hi - zero, one(p, p + gram), one(lo, hi + length), two(lo, hi + length)))
 
     return run
 
 
-def _blocks(length: int, gram: int, block: int):
-    """Blocks of the runs that stand for their kind, with their bytes."""
-    width = length - gram + 1
+def _ranges(count: np.ndarray) -> np.ndarray:
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _with_context(length: int):
+    """Runs listed with their texts, and the bytes that their windows cover."""
 
     def run(batches):
         for batch in batches:
-            runs = batch.column(2)
-            run_off = np.frombuffer(runs.buffers()[1], np.int32)[runs.offset : runs.offset + len(runs) + 1].astype(np.int64)
-            fields = runs.values
-            at_all, reach_all, open_all = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            listed = batch.column(2)
+            bounds = np.frombuffer(listed.buffers()[1], np.int32)[listed.offset : listed.offset + len(listed) + 1].astype(np.int64)
             for rows, d, off in pieces(batch.column(1)):
-                h = SubstringHash(d)
-                r0, r1 = run_off[rows.start], run_off[rows.stop]
-                doc = np.repeat(np.arange(len(off) - 1), np.diff(run_off[rows.start : rows.stop + 1]))
-                p = at_all[r0:r1].astype(np.int64) + off[doc]
-                reach, is_open = reach_all[r0:r1].astype(np.int64), open_all[r0:r1].astype(bool)
-                first, last = reach // (2 * length) - length + width - 1, reach % (2 * length) - length + width - 1
+                mine = slice(int(bounds[rows.start]), int(bounds[rows.stop]))
+                own = listed.values[mine.start : mine.stop]
+                doc = np.repeat(np.arange(len(off) - 1), np.diff(bounds[rows.start : rows.stop + 1]))
+                at, lo, hi = (own.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "lo", "hi"))
+                size = hi - lo + length
+                data = d[np.repeat(at + off[doc], size) + _ranges(size)] if len(doc) else d[:0]
+                context = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+                whole = [own.field(c) for c in ("at", "lo", "hi", "key", "open")]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[rows].take(pa.array(doc)), *whole, context], ["id", "at", "lo", "hi", "key", "open", "context"])
+
+    return run
+
+
+def _blocks(length: int, block: int):
+    """Pieces cut into blocks of windows, by the bytes that a block's windows share."""
+
+    def run(batches):
+        for batch in batches:
+            for rows, d, off in pieces(batch.column(6)):
+                one, two = SubstringHash(d), SubstringHash(d, 1)
+                at, first, last = (batch.column(i)[rows].to_numpy().astype(np.int64) for i in (1, 2, 3))
                 n = last // block - first // block + 1
-                which = np.repeat(np.arange(len(p)), n)
-                b = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + (first // block)[which]
-                zero = p[which] - (width - 1)
+                which = np.repeat(np.arange(len(n)), n)
+                b = _ranges(n) + (first // block)[which]
                 lo, hi = np.maximum(first[which], b * block), np.minimum(last[which], b * block + block - 1)
-                core = h(zero + np.minimum(b * block + block - 1, width - 1), zero + b * block + length)
+                zero = off[which] - first[which]
                 start, end = zero + lo, zero + hi + length
-                bounds = np.append(0, np.cumsum(end - start))
-                data = d[np.repeat(start - bounds[:-1], end - start) + np.arange(bounds[-1])] if len(which) else d[:0]
-                context = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(which), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
-                own = batch.column(0)[rows].take(pa.array(doc[which]))
-                yield pa.RecordBatch.from_arrays(
-                    [own, pa.array((start - off[doc[which]]).astype(np.int64)), pa.array((lo * (2 * length) + hi).astype(np.int32)), pa.array((core ^ mix(b.astype(U64) + U64(77))).view(np.int64)), pa.array(h(start, end).view(np.int64)), pa.array(is_open[which]), context],
-                    ["id", "at", "reach", "key", "span", "open", "context"],
-                )
+                # From the start of a block's last window, whether this piece has it or not, to the end of its first one.
+                core = one(zero + b * block + block - 1, zero + b * block + length)
+                size = end - start
+                data = d[np.repeat(start, size) + _ranges(size)] if len(b) else d[:0]
+                context = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+                arrays, names = _fields(batch.column(0)[rows].take(pa.array(which)), (at - first)[which] + lo, lo, hi, core ^ mix(b.astype(U64) + U64(77)), one(start, end), two(start, end))
+                yield pa.RecordBatch.from_arrays([*arrays, batch.column(5)[rows].take(pa.array(which)), context], [*names, "open", "context"])
 
     return run
 
 
-def _windows(length: int):
-    """Two hashes of each window of a block."""
+def _columns(length: int):
+    """The repeated windows of a task's open pieces, runs of them as one."""
 
     def run(batches):
-        for batch in batches:
-            for rows, d, off in pieces(batch.column(2)):
-                n = np.diff(off) - length + 1
-                which = np.repeat(np.arange(len(n)), n)
-                step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                start = off[which] + step
-                one, two = SubstringHash(d), SubstringHash(d, 1)
-                place = batch.column(1)[rows].to_numpy()[which] + step
-                yield pa.RecordBatch.from_arrays([batch.column(0)[rows].take(pa.array(which)), pa.array(place), batch.column(3)[rows].take(pa.array(which)), *(pa.array(h(start, start + length).view(np.int64)) for h in (one, two))], ["id", "at", "open", "h1", "h2"])
+        held = [b for b in batches if len(b)]  # bounded by TASK and GROUP
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        rows = rows.sort_by([("key", "ascending"), ("d", "ascending"), ("t", "ascending"), ("at", "ascending")])
+        key, doc, text, at, lo = (rows.column(c).to_numpy().astype(np.int64) for c in ("key", "d", "t", "at", "lo"))
+        new = np.ones(len(key), bool)  # a run of a repeated row is there more than once
+        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1])
+        rows, own = rows.filter(pa.array(new)), np.flatnonzero(new)
+        d, off = utf8(rows.column("context"))
+        piece, place = repeated_columns(d, off, key[own], lo[own], length)
+        is_open = rows.column("open").to_numpy()[piece]
+        order = np.lexsort((place[is_open], piece[is_open]))
+        piece, place = own[piece[is_open][order]], place[is_open][order]
+        head = np.ones(len(piece), bool)
+        head[1:] = (piece[1:] != piece[:-1]) | (place[1:] != place[:-1] + 1)
+        first, last = np.flatnonzero(head), np.flatnonzero(np.append(head[1:], True)[: len(head)])
+        one = piece[first]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[one], text[one], at[one] + place[first], at[one] + place[last])], ["d", "t", "lo", "hi"])
 
     return run
 
@@ -120,64 +166,63 @@ def _removed(length: int):
     return run
 
 
-def _kinds(rows: DataFrame, is_open) -> DataFrame:
-    """By kind (key, reach, span): how many rows, whether any is open, and how many kinds its key has."""
-    kinds = rows.groupBy("key", "reach", "span").agg(F.count("*").alias("n"), F.max(is_open).alias("any_open"), F.min(F.struct("id", "at")).alias("one"))
-    keys = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.max((F.col("n") == 1) & F.col("any_open")).alias("unsettled")).where("kinds > 1 and unsettled").select("key")
-    return kinds, kinds.join(keys, "key")
-
-
-def _release(spark: SparkSession, *paths: str) -> None:
-    """Frees tables no longer read and lets Spark drop the shuffle files of finished steps."""
-    for path in paths:
-        delete(spark, path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, group: int = GROUP, task: int = TASK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
-    spark = docs.sparkSession
+    tables = Tables()
+    store = lambda df, name: tables.written(df, f"repeats-{name}", "zstd")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = keyed.withColumn("id", F.xxhash64("doc_id", "text"))
+    keyed = keyed.withColumn("id", F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("t")))
     long = keyed.where(F.octet_length("text") >= length).select("id", "text")
-    runs, runs_path = _stored(long.mapInArrow(_runs(length, gram), "id long, at long, reach int, key long, span long"), "runs")
-    twice = runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared, shared_path = _stored(runs.join(twice, "key"), "shared-runs")
-    _release(spark, runs_path)
-
-    kinds, unsettled = _kinds(shared, F.lit(True))
-    first = (F.expr(f"cast(floor(reach / {2 * length}) as long)") - length + F.col("at")).alias("lo")
-    last = (F.col("reach") % (2 * length) - length + F.col("at")).alias("hi")
-    solid = shared.join(kinds.where("n > 1").select("key", "reach", "span"), ["key", "reach", "span"]).select("id", first, last)
-    solid, solid_path = _stored(solid, "whole-runs")
-    asked = unsettled.select("one.id", F.struct(F.col("one.at").alias("at"), "reach", (F.col("n") == 1).alias("open")).alias("run")).groupBy("id").agg(F.collect_list("run").alias("runs"))
-    texts = long.join(asked, "id").dropDuplicates(["id"]).select("id", "text", "runs")
-    blocks, blocks_path = _stored(texts.mapInArrow(_blocks(length, gram, block), "id long, at long, reach int, key long, span long, open boolean, context binary"), "blocks")
-    _release(spark, shared_path)
-
-    kinds, unsettled = _kinds(blocks.drop("context"), F.col("open"))
-    here = blocks.where("open").drop("context").join(kinds.where("n > 1").select("key", "reach", "span"), ["key", "reach", "span"])
-    in_blocks = here.select("id", F.col("at").alias("lo"), (F.col("at") + F.col("reach") % (2 * length) - F.expr(f"cast(floor(reach / {2 * length}) as long)")).alias("hi"))
-    _release(spark)
-    edges = unsettled.select(F.col("one.id").alias("id"), F.col("one.at").alias("at"), "key", "reach", "span", (F.col("n") == 1).alias("alone"))
-    edges = blocks.join(edges, ["key", "reach", "span", "id", "at"]).select("id", "at", "context", (F.col("open") & F.col("alone")).alias("open"))
-    windows, windows_path = _stored(edges.mapInArrow(_windows(length), "id long, at long, open boolean, h1 long, h2 long"), "windows")
-    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("open").alias("o")).where("n > 1 and o").select("h1", "h2")
-    in_windows = windows.where("open").join(again, ["h1", "h2"]).select("id", F.col("at").alias("lo"), F.col("at").alias("hi"))
-
-    found = solid.unionByName(in_blocks).unionByName(in_windows).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    found, found_path = _stored(found, "repeats")  # before the texts are shuffled once more
-    _release(spark, solid_path, blocks_path, windows_path)
-    cut = long.join(found, "id").dropDuplicates(["id"]).select("id", "text", "spans")
-    cut, _ = _stored(cut.mapInArrow(_removed(length), "id long, n_removed long, n_spans long, kept_sha256 string"), "removed")
-    _release(spark, found_path)
+    runs = store(long.mapInArrow(_runs(length, gram), RUN), "runs")
+    twice = store(runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+    shared = store(runs.join(if_small(twice), "key"), "shared-runs")
+    tables.drop(runs, twice)
+
+    def kinds(rows: DataFrame, is_open) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Kinds of equal rows; those that occur again; by key that is not settled, how many kinds it has."""
+        found = store(rows.groupBy(*KIND).agg(F.count("*").alias("n"), F.max(is_open).alias("open"), F.min(F.struct("id", "at")).alias("one")), "kinds")
+        keys = found.groupBy("key").agg(F.count("*").alias("kinds"), F.max((F.col("n") == 1) & F.col("open")).alias("some"))
+        return found, store(found.where("n > 1 and open").select(*KIND), "again"), store(keys.where("kinds > 1 and some").select("key", "kinds"), "keys")
+
+    def solid(rows: DataFrame, again: DataFrame) -> DataFrame:
+        """First and last windows of the rows of these kinds, by document."""
+        return store(rows.join(if_small(again, 300_000), KIND).select("id", F.col("at").alias("lo"), (F.col("at") + F.col("hi") - F.col("lo")).alias("hi")), "found")
+
+    def columns(rows: DataFrame, count: int) -> DataFrame:
+        """The repeated windows of these pieces, those of a key in one of as many tasks as their count needs."""
+        rows = rows.select("id.d", "id.t", "at", "lo", "key", "open", "context").repartition(max(1, -(-count // task)), "key")
+        found = rows.mapInArrow(_columns(length), "d long, t long, lo long, hi long")
+        return store(found.select(F.struct("d", "t").alias("id"), F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi")), "found")
+
+    every, again, keys = kinds(shared, F.lit(True))
+    found = [solid(shared, again)]
+    tables.drop(shared, again)
+    asked = every.join(if_small(keys.select("key")), "key").select("one.id", F.struct("one.at", "lo", "hi", "key", (F.col("n") == 1).alias("open")).alias("run"))
+    asked = asked.groupBy("id").agg(F.collect_list("run").alias("runs"))
+    rows = long.join(asked, "id").select("id", "text", "runs").mapInArrow(_with_context(length), f"{ID}, at int, lo short, hi short, key long, open boolean, context binary")
+    rows = store(rows, "pieces")
+    tables.drop(every)
+    for width in (block, 1):
+        many = keys.where(F.col("kinds") > group).select("key")
+        few = keys.where(F.col("kinds") <= group)
+        found.append(columns(rows.join(if_small(few.select("key")), "key"), few.agg(F.sum("kinds")).first()[0] or 0))
+        if not many.take(1):
+            break
+        rows = rows.join(if_small(many), "key").dropDuplicates(["id", "key", "at"]).select("id", "at", "lo", "hi", "key", "open", "context")
+        rows = store(rows.mapInArrow(_blocks(length, width), f"{RUN}, open boolean, context binary"), "blocks")
+        every, again, keys = kinds(rows.drop("context"), F.col("open"))
+        found.append(solid(rows.where("open").drop("context"), again))
+        # One of each kind goes on; windows (blocks of one) of different kinds are different.
+        rows = rows.join(every.select(*KIND, "one", "n"), KIND).where("id = one.id and at = one.at")
+        rows = rows.select("id", "at", "lo", "hi", "key", (F.col("open") & (F.col("n") == 1)).alias("open"), "context")
+
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.unionByName(more)
+    spans = store(spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")  # before the texts are shuffled once more
+    tables.close(spans)
+    cut = long.join(spans, "id").select("id", "text", "spans").mapInArrow(_removed(length), f"{ID}, n_removed long, n_spans long, kept_sha256 string")
+    cut = Tables().written(cut.dropDuplicates(["id"]), "repeats-removed")
     whole = keyed.select("id", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole_sha256"))
     return whole.join(cut, "id", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
 
