@@ -5,7 +5,8 @@ as ORC: stripes with integer run-length encoding, row indexes and Bloom filters
 row, is document order; each row carries the number of ids before it in its file, so a reader needs only one total per
 file to know every global position. Stripes are read in parallel and pruned by id from metadata alone.
 
-Edge cases: a null or empty text is the end id alone; equal ids (repeated rows) are ordered by text; a null id comes
+Edge cases: a null or empty text is the end id alone; a very long text is one row; equal ids (repeated rows) are ordered by
+text, and rows repeated in whole stay in one file; a null id comes
 first; an empty table gives no rows; other columns of the input, whatever their names, are not read.
 """
 
@@ -46,7 +47,9 @@ def _encode(tokenizer: str, end_id: int):
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Writes the ids of (doc_id, text) to path."""
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # An id that many rows share is split by how their texts begin.
+    ordered = ordered.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     (
         ordered.mapInArrow(_encode(tokenizer or default_tokenizer(), end_id), FILE_SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
