@@ -2,15 +2,16 @@
 
 Of the k-grams of words in every window of 10 words, the one with the least hash (the last of equals) is the window's
 fingerprint. Equal windows have equal fingerprints at equal places, so any shared span of 10 words shares one. The
-benchmark's fingerprints and windows set bits of a bitmap of fixed size, which every task holds; documents look up their
+benchmark's fingerprints and windows set bits of a bitmap of bounded size, which every task holds; documents look up their
 own fingerprints there, extend those found to their whole windows, and only windows whose bit is set are shuffled and
 joined, exactly, with the benchmark's distinct windows. Items of fewer than 10 words are one window of their own length,
 looked up at every place.
 
 Benchmark and documents may be of any size: the bitmap saves work, the join decides. Equal windows of many items are one
-row with a set of items, and a document meets each set once.
+row with a set of items, and a document meets each set once; its digest needs its items' ids together, which are at most
+those of the benchmark.
 
-Edge cases: a null text or one without words has no window; a document shorter than a window can hold short items only;
+Edge cases: a very long text is one row of many windows; windows of equal hash are equal fingerprints wherever they stand; a null text or one without words has no window; a document shorter than a window can hold short items only;
 repeated rows are judged one by one; a null item_id is left out of n_items; an empty table gives no rows or no hits; other
 columns are not read.
 """
@@ -19,15 +20,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm._store import free_name, written
+from loomspark.llm._store import Tables, free_name, if_small, written
 from loomspark.llm._text import ALNUM_WORD, LOWER, U64, mix, ngram_hash, pieces, run_hashes, runs, whole
 
 WORDS, GRAM = 10, 5
-#: Bits of the bitmap that stands before the join: 512 KB, whatever the benchmark's size.
-BITS = 1 << 22
+#: Bits of the bitmap that stands before the join, for each window of the benchmark, and the most and least in all (32 MB, 8 KB).
+BITS_EACH, MOST_BITS, LEAST_BITS = 32, 1 << 28, 1 << 16
 
 
 def _words(d: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,11 +48,12 @@ def fingerprints(words: np.ndarray, word_off: np.ndarray, n: int = WORDS, k: int
     return at, best
 
 
-def _slot(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(hashes + U64(0x51ED270B)) % U64(bits)).astype(np.int64)
+def _slot(hashes: np.ndarray, bits: int = MOST_BITS) -> np.ndarray:
+    """The bit of each hash; of fewer bits, a power of two, the remainder."""
+    return (mix(hashes + U64(0x51ED270B)) & U64(bits - 1)).astype(np.int64)
 
 
-def _item_windows(n: int, k: int, bits: int):
+def _item_windows(n: int, k: int):
     def run(batches):
         for batch in batches:
             for rows, d, off in pieces(batch.column(1)):
@@ -65,7 +67,7 @@ def _item_windows(n: int, k: int, bits: int):
                     parts.append((at, np.full(len(at), m), own, own))
                 at, size, own, best = (np.concatenate(x) for x in zip(*parts, strict=True))
                 item = batch.column(0)[rows].take(pa.array(np.searchsorted(word_off, at, "right") - 1))
-                yield pa.RecordBatch.from_arrays([item, pa.array(size.astype(np.int32)), pa.array(own.view(np.int64)), pa.array(_slot(own, bits)), pa.array(_slot(best, bits))], ["item_id", "size", "hash", "slot", "mark"])
+                yield pa.RecordBatch.from_arrays([item, pa.array(size.astype(np.int32)), pa.array(own.view(np.int64)), pa.array(_slot(own)), pa.array(_slot(best))], ["item_id", "size", "hash", "slot", "mark"])
 
     return run
 
@@ -104,21 +106,29 @@ def _candidates(bitmap: bytes, short: list[int], n: int, k: int, bits: int):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, k: int = GRAM, bits: int = BITS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each document."""
-    spark = docs.sparkSession
-    items = written(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_item_windows(n, k, bits), "item_id long, size int, hash long, slot long, mark long"), "benchmark-windows")
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, k: int = GRAM, bits: int | None = None, key: Column | None = None) -> DataFrame:
+    """doc_id (or the key given instead), n_words, n_hit, n_items, items_sha256, contaminated of each document.
+
+    bits, a power of two, is the size of the bitmap; by default it goes with the number of the benchmark's windows.
+    """
+    tables = Tables()
+    items = tables.written(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_item_windows(n, k), "item_id long, size int, hash long, slot long, mark long"), "benchmark-windows")
+    bits = bits or min(max(1 << (BITS_EACH * items.count()).bit_length(), LEAST_BITS), MOST_BITS)
     short = sorted(r["size"] for r in items.where(F.col("size") < n).select("size").distinct().collect())  # at most n - 1
-    slots = items.select(F.explode(F.array("slot", "mark")).alias("slot")).select((F.col("slot") + 1).alias("slot"))  # Spark numbers buckets from 1
+    slots = items.select(F.explode(F.array("slot", "mark")).alias("slot")).select((F.pmod("slot", F.lit(bits)) + 1).alias("slot"))  # Spark numbers buckets from 1
     parts = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()  # bits / 8 bytes in all
-    bitmap = bytearray(bits // 8)
+    bitmap = bytearray(max((r["bucket"] * len(r["bits"]) for r in parts), default=0) or bits // 8)
     for r in parts:
         bitmap[(r["bucket"] - 1) * len(r["bits"]) : r["bucket"] * len(r["bits"])] = r["bits"]
-    found = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_candidates(bytes(bitmap), short, n, k, bits), "row long, doc_id long, n_words long, windows array<struct<at: long, size: int, hash: long>>"), "decontamination")
+    bitmap += bytes(max(0, bits // 8 - len(bitmap)))
+    rows = docs.select((F.col("doc_id").cast("long") if key is None else key).alias("doc_id"), "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = tables.written(rows.mapInArrow(_candidates(bytes(bitmap), short, n, k, bits), f"row long, doc_id {kind}, n_words long, windows array<struct<at: long, size: int, hash: long>>"), "decontamination")
     windows = items.groupBy("size", "hash").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    windows = written(windows.select("size", "hash", "items", F.xxhash64("items").alias("set")), "benchmark-sets")
+    windows = tables.written(windows.select("size", "hash", "items", F.xxhash64("items").alias("set")), "benchmark-sets")
     hits = found.where(F.size("windows") > 0).select("row", F.explode("windows").alias("w")).select("row", "w.*").join(windows.select("size", "hash", "set"), ["size", "hash"])
-    hits = written(hits.select("row", "at", "size", "set"), "decontamination-hits")
+    hits = tables.written(hits.select("row", "at", "size", "set"), "decontamination-hits")
+    tables.close(found, windows, hits)
     reach = F.max(F.col("at") + F.col("size")).over(Window.partitionBy("row").orderBy("at", "size").rowsBetween(Window.unboundedPreceding, -1))
     words = hits.select("row", "at", "size").distinct().withColumn("from", F.greatest(F.col("at"), F.coalesce(reach, F.lit(0))))
     words = words.groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("at") + F.col("size") - F.col("from"))).alias("n_hit"))
@@ -138,10 +148,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, k: int
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, unchanged, without those that hold a passage of the benchmark."""
-    key = free_name("hit_key", *docs.columns)
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
-    hit = written(contamination(keyed, benchmark).where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
-    return docs.join(hit, F.xxhash64(docs["doc_id"], docs["text"]) == hit[key], "left_anti")
+    id_, text = (free_name(c, *docs.columns) for c in ("hit_id", "hit_text"))
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("i"), F.xxhash64("text").alias("t"))
+    hit = contamination(docs, benchmark, key=key).where("contaminated").select(F.col("doc_id.i").alias(id_), F.col("doc_id.t").alias(text))
+    hit = if_small(written(hit.distinct(), "contaminated"))
+    return docs.join(hit, (F.coalesce(docs["doc_id"].cast("long"), F.lit(-1 << 63)) == hit[id_]) & (F.xxhash64(docs["text"]) == hit[text]), "left_anti")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
