@@ -17,6 +17,9 @@ RULES = (
 )
 
 
+KIND = {name: k for k, (name, _, _) in enumerate(RULES)}
+
+
 def luhn(digits):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
 
