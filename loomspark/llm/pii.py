@@ -98,25 +98,31 @@ def base_spans(rows: DataFrame) -> DataFrame:
     return each.select("row", "kind", "start", "end", F.col("x.value").alias("value"), F.md5(F.concat_ws(":", "kind", "x.value").cast("binary")).alias("entity"))
 
 
-def free_words(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """row, term, start, end of the words of documents with spans that no span overlaps."""
+def located_words(rows: DataFrame) -> DataFrame:
+    """row, term, start, end of every word of the documents with spans."""
     words = _located(rows.where("words is not null").select("row", F.posexplode("words").alias("i", "x")), "row")
-    words = words.select("row", "start", "end", F.lower("x.value").alias("term"))
-    # In order of a word's end and a span's start, the spans before a word are those that begin before it ends.
-    events = words.select("row", "start", "end", "term", F.col("end").alias("at"), F.lit(0).alias("order"))
-    events = events.unionByName(spans.select("row", "start", "end", F.lit(None).cast("string").alias("term"), F.col("start").alias("at"), F.lit(1).alias("order")))
-    earlier = Window.partitionBy("row").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.max(F.when(F.col("order") == 1, F.col("end"))).over(earlier)
-    return events.withColumn("reach", reach).where("order = 0 and coalesce(reach, 0) <= start").select("row", "term", "start", "end")
+    return words.select("row", "start", "end", F.lower("x.value").alias("term"))
 
 
-def nearby(words: DataFrame, spans: DataFrame) -> DataFrame:
+def _cells(a: str, b: str) -> Column:
+    return F.expr(f"sequence(cast(floor(({a}) / {CELL}) as int), cast(floor(({b}) / {CELL}) as int))")
+
+
+def outside(words: DataFrame, spans: DataFrame) -> DataFrame:
+    """The words (row, start, end and other columns) that no span overlaps."""
+    taken = spans.select("row", F.col("start").alias("s"), F.col("end").alias("e"), F.explode(_cells("start", "end - 1")).alias("cell"))
+    mine = words.select("row", "start", "end").distinct().withColumn("cell", F.explode(_cells("start", "end - 1")))
+    within = mine.join(taken, ["row", "cell"]).where("start < e and s < end").select("row", "start").distinct()
+    return words.join(within, ["row", "start"], "left_anti")
+
+
+def nearby(words: DataFrame, spans: DataFrame, tables: Tables) -> DataFrame:
     """row, entity, term, each once, of the words within CONTEXT code points of a span."""
-    cells = lambda a, b: F.expr(f"sequence(cast(floor(({a}) / {CELL}) as int), cast(floor(({b}) / {CELL}) as int))")
-    sides = F.array_distinct(F.concat(cells(f"start - {CONTEXT}", "start"), cells("end", f"end + {CONTEXT}")))
-    around = spans.select("row", "entity", F.col("start").alias("s"), F.col("end").alias("e"), F.explode(sides).alias("cell"))
-    met = words.withColumn("cell", F.expr(f"cast(floor(start / {CELL}) as int)")).join(around, ["row", "cell"])
-    return met.where(f"(start >= s - {CONTEXT} and end <= s) or (start >= e and end <= e + {CONTEXT})").select("row", "entity", "term").distinct()
+    sides = F.array_distinct(F.concat(_cells(f"start - {CONTEXT}", "start"), _cells("end", f"end + {CONTEXT}")))
+    around = tables.written(spans.select("row", "entity", F.col("start").alias("s"), F.col("end").alias("e"), F.explode(sides).alias("cell")), "pii-around")
+    met = words.withColumn("cell", F.expr(f"cast(floor(start / {CELL}) as int)")).join(if_small(around), ["row", "cell"])
+    met = met.where(f"(start >= s - {CONTEXT} and end <= s) or (start >= e and end <= e + {CONTEXT})").select("row", "start", "end", "entity", "term")
+    return outside(tables.written(met, "pii-met"), spans).select("row", "entity", "term").distinct()
 
 
 def term_frequency(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -145,11 +151,12 @@ def personal_data(docs: DataFrame) -> tuple[DataFrame, DataFrame, Tables]:
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = tables.written(matched(texts), "pii-rows")
     spans = tables.written(base_spans(rows), "pii-base")
-    words = tables.written(free_words(rows, spans), "pii-words")
-    near = tables.written(nearby(words, spans), "pii-near")
+    words = tables.written(located_words(rows), "pii-words")
+    near = tables.written(nearby(words, spans, tables), "pii-near")
     pairs = disclosing(near, spans, texts, rows.count(), tables)
-    held = spans.select("row", "entity").distinct().join(pairs, "entity").select("row", "term").distinct()
-    terms = words.join(held, ["row", "term"]).select("row", F.lit(len(KINDS)).alias("kind"), "start", "end")
+    held = tables.written(spans.select("row", "entity").distinct().join(pairs, "entity").select("row", "term").distinct(), "pii-held-terms")
+    terms = outside(tables.written(words.join(if_small(held), ["row", "term"]).select("row", "start", "end"), "pii-terms-found"), spans)
+    terms = terms.select("row", F.lit(len(KINDS)).alias("kind"), "start", "end")
     return rows, tables.written(spans.select("row", "kind", "start", "end").unionByName(terms), "pii-spans"), tables
 
 
