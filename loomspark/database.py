@@ -5,11 +5,21 @@ creation of the next. A collection is a list of immutable segments and a list of
 tombstone of its id has a later sequence number. Single writes go to a change log and a buffer on the driver, which a flush
 turns into a segment; ``upsert_frame`` writes a segment from a DataFrame without passing the driver. A DataFrame from
 ``frame`` is the state at that moment.
+
+The approximate index of a collection is a snapshot of centroids beside its segments, named in the manifest. Segments
+written since are stored by cell; the others, and the buffer, are searched in whole. A snapshot that is missing or damaged
+costs a new fit, never a result.
+
+A LOCK file holds its owner's host and process and is touched while the owner lives: one whose process is gone, or that
+wasn't touched for ``LEASE`` seconds, is taken over.
 """
 
 from __future__ import annotations
 
 import base64
+import os
+import socket
+import threading
 import time
 import uuid
 from collections.abc import Iterable, Sequence
@@ -17,6 +27,7 @@ from dataclasses import asdict
 from functools import reduce
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +79,10 @@ from loomspark.types import (
 )
 
 KEPT_MANIFESTS = 2
+#: Seconds after which a LOCK that isn't touched any more is taken over.
+LEASE = 120
+#: An index is fitted anew by compact when its collection has grown by this factor.
+REFIT = 4
 VERIFY_LEVELS = ("quick", "checksums", "full")
 
 
@@ -101,8 +116,8 @@ class Database:
             raise NotADatabase(path) if self.files.exists() and self.files.names() else DatabaseNotFound(path)
         if not there and self.files.exists() and self.files.names():
             raise NotADatabase(f"{path} has other files")
-        if not config.read_only and not self.files.create("LOCK", self._token):
-            raise AlreadyOpen(f"{path}: locked by {self.files.read('LOCK')}")
+        if not config.read_only:
+            self._lock()
         self._open = True
         try:
             self.state = self._newest() if there else {"version": 0, "format": FORMAT_VERSION, "created_at_ms": int(time.time() * 1000), "collections": {}}
@@ -120,6 +135,41 @@ class Database:
     def __exit__(self, *_: object) -> None:
         self.close()
 
+    # The lock.
+
+    def _lock(self) -> None:
+        owner = f"{socket.gethostname()} {os.getpid()} {self._token}"
+        if not self.files.create("LOCK", owner):
+            if not self._abandoned(held := self.files.read("LOCK")) or self.files.read("LOCK") != held:
+                raise AlreadyOpen(f"{self.files.root}: locked by {held}")
+            self.files.delete("LOCK")
+            if not self.files.create("LOCK", owner):
+                raise AlreadyOpen(f"{self.files.root}: locked by {self.files.read('LOCK')}")
+        self._released = threading.Event()
+
+        def touch() -> None:
+            while not self._released.wait(LEASE / 4):
+                try:
+                    self.files.touch("LOCK")
+                except Exception:  # the session has ended; the lease runs out
+                    return
+
+        threading.Thread(target=touch, daemon=True).start()
+
+    def _abandoned(self, owner: str) -> bool:
+        """Whether the process that holds the lock is gone: known on its own host, and elsewhere by its lease."""
+        host, _, rest = owner.partition(" ")
+        pid = rest.partition(" ")[0]
+        if host == socket.gethostname() and pid.isdigit():
+            try:
+                os.kill(int(pid), 0)
+            except ProcessLookupError:
+                return True
+            except PermissionError:
+                pass
+            return False
+        return time.time() - self.files.modified("LOCK") > LEASE
+
     # The manifest.
 
     def _newest(self) -> dict:
@@ -137,14 +187,16 @@ class Database:
         names = self.files.names("_manifest")
         number = max([int(n.split(".")[0]) for n in names if n.endswith(".json")], default=0) + 1
         self.state["version"] = number
-        if not self.files.create_record(f"_manifest/{number:020d}.json", self.state):
+        if not self.files.create_record(f"_manifest/{number:020d}.json", self.state, self.config.durability != "relaxed"):
             raise AlreadyOpen("another writer has committed")
         for old in sorted(n for n in names if n.endswith(".json"))[: 1 - KEPT_MANIFESTS or None]:
             self.files.delete(f"_manifest/{old}")
 
     def _release(self) -> None:
-        if not self.config.read_only and self._open and self.files.exists("LOCK") and self.files.read("LOCK") == self._token:
-            self.files.delete("LOCK")
+        if not self.config.read_only and self._open:
+            self._released.set()
+            if self.files.exists("LOCK") and self.files.read("LOCK").endswith(self._token):
+                self.files.delete("LOCK")
         self._open = False
 
     def _writable(self) -> None:
@@ -184,7 +236,7 @@ class Database:
         spec = CollectionSpec(name, dimension, metric, created_at_ms=int(time.time() * 1000), **options)
         if name in self._collections:
             raise CollectionExists(name)
-        self.state["collections"][name] = {"spec": asdict(spec), "segments": [], "dead": [], "seq": 0, "next": 1, "sources": {}}
+        self.state["collections"][name] = {"spec": asdict(spec), "segments": [], "dead": [], "seq": 0, "next": 1, "sources": {}, "index": None}
         self._commit()
         self._collections[name] = Collection(self, name)
         return self._collections[name]
@@ -306,7 +358,7 @@ class Collection:
                 v = to_variant(doc.metadata)
                 op |= {"vector": doc.vector, "value": text(bytes(v.value)), "keys": text(bytes(v.metadata)), "content": text(doc.content)}
             ops.append(op)
-        if not self.files.create_record(f"c_{self.name}/log/{changes[0][0]:020d}.json", ops):
+        if not self.files.create_record(f"c_{self.name}/log/{changes[0][0]:020d}.json", ops, self.database.config.durability == "full"):
             raise AlreadyOpen(f"{self.name}: another writer has logged these changes")
 
     def _put(self, seq: int, id_: Any, doc: Document | None) -> None:
@@ -322,26 +374,36 @@ class Collection:
     def frame(self) -> DataFrame:
         """id, vector, inv_norm, metadata, content, seq, segment of all live documents (segment 0: not flushed yet)."""
         self.database._check_open()
-        rows = self._on_disk()
+        return self._with_buffer(self._on_disk())
+
+    def _with_buffer(self, rows: DataFrame) -> DataFrame:
         if self._buffer:
             ids = self.spark.createDataFrame([(i,) for i in self._buffer], T.StructType([T.StructField("id", _kind(self.spec))]))
             rows = rows.join(ids, "id", "left_anti").select(*row_schema(self.spec).names).unionByName(self._buffered())
         return rows
 
-    def _on_disk(self, segments: list[int] | None = None) -> DataFrame:
-        rows = self._segment_rows(segments)
+    def _on_disk(self, segments: list[int] | None = None, cells: list[int] | None = None) -> DataFrame:
+        rows = self._segment_rows(segments, cells)
         if not self._state["dead"]:
             return rows
         dead = self._tombstones().groupBy("id").agg(F.max("seq").alias("dead_to"))
         joined = rows.join(dead.withColumnRenamed("id", "dead_id"), (F.col("id") == F.col("dead_id")) & (F.col("seq") < F.col("dead_to")), "left_anti")
         return joined.select(*row_schema(self.spec).names)
 
-    def _segment_rows(self, segments: list[int] | None = None) -> DataFrame:
-        chosen = [s["number"] for s in self._state["segments"] if segments is None or s["number"] in segments]
-        shape = row_schema(self.spec)
-        if not chosen:
-            return self.spark.createDataFrame([], shape)
-        return self.spark.read.schema(shape).parquet(*(self.files.url(f"c_{self.name}/seg-{n}") for n in chosen))
+    def _segment_rows(self, segments: list[int] | None = None, cells: list[int] | None = None) -> DataFrame:
+        """Rows of all segments or of those named; of segments stored by the present index, only of the cells named."""
+        shape, present = row_schema(self.spec), (self._state.get("index") or {}).get("number")
+        chosen = [s for s in self._state["segments"] if segments is None or s["number"] in segments]
+        urls = lambda own: [self.files.url(f"c_{self.name}/seg-{s['number']}") for s in own]
+        parts = []
+        if plain := [s for s in chosen if not s.get("index")]:
+            parts.append(self.spark.read.schema(shape).parquet(*urls(plain)))
+        by_cell = T.StructType([*shape.fields, T.StructField("cell", T.IntegerType())])
+        for s in chosen:
+            if s.get("index"):  # folders of cells are found in one segment at a time
+                rows = self.spark.read.schema(by_cell).parquet(*urls([s]))
+                parts.append((rows.where(F.col("cell").isin(cells)) if s["index"] == present and cells is not None else rows).select(*shape.names))
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], shape)
 
     def _tombstones(self) -> DataFrame:
         shape = T.StructType([T.StructField("id", _kind(self.spec)), T.StructField("seq", T.LongType())])
@@ -372,7 +434,9 @@ class Collection:
         return found
 
     def contains(self, id_: Any) -> bool:
-        return self.get(id_, Include(metadata=False)) is not None
+        self.database._check_open()
+        check_id(id_, self.spec)
+        return bool(self._existing([id_]))
 
     __contains__ = contains
 
@@ -396,45 +460,85 @@ class Collection:
         rows = self.frame() if rows is None else rows
         return knn(rows, vector, k, metric or self.spec.metric, self._condition(where), min_score, include=include.columns(), inverse="inv_norm")
 
-    def search(self, query: Any, k: int = 10, where: Filter | dict | None = None, metric: str | None = None, min_score: float | None = None, include: Include = Include(), max_scanned: int | None = None, tag: str | None = None, n_probe: int = 8, exact: bool | None = None) -> SearchResponse:
-        """The k best documents. max_scanned refuses a search over more rows; tag names it for Database.cancel."""
+    def search(self, query: Any, k: int = 10, where: Filter | dict | None = None, metric: str | None = None, min_score: float | None = None, include: Include = Include(), max_scanned: int | None = None, tag: str | None = None, n_probe: int | None = None, exact: bool | None = None) -> SearchResponse:
+        """The k best documents. max_scanned refuses a search that would read more rows; tag names it for Database.cancel.
+
+        An approximate search visits n_probe cells, by default as many as the index was calibrated to, and is followed by an
+        exact one if it finds fewer than k. scanned counts the rows read, considered those that the filter lets pass.
+        """
         check_top_k(k)
         vector = check_vector(query, self.spec.dimension)
         if metric is not None and metric not in METRICS:
             raise InvalidConfig(f"metric {metric!r}: one of {METRICS}")
-        rows = self.frame()
-        total = rows.count()
-        if max_scanned is not None and total > max_scanned:
-            raise Cancelled(f"{total} rows; at most {max_scanned} may be scanned")
-        approximate = self.spec.index == "ann" and not exact and metric in (None, self.spec.metric)
+        condition = self._condition(where)
+        index = self.index() if self.spec.index == "ann" and not exact and metric in (None, self.spec.metric) else None
         if tag:
             self.spark.addTag(tag)
         try:
-            if approximate:
-                index = self.index()
-                found = ann.ann_knn(ann.assign(rows, index), index, vector, k, n_probe, self._condition(where), min_score, include=include.columns()).collect()
-                considered = total
-            else:
-                seen = Observation()
-                condition = self._condition(where)
-                matches = (rows if condition is None else rows.where(condition)).observe(seen, F.count(F.lit(1)).alias("n"))
-                found = self.search_frame(vector, k, None, metric, min_score, include, matches).collect()
-                considered = seen.get["n"]
+            found, approximate, scanned, considered = [], False, 0, 0
+            ways = [None]
+            if index is not None and (n_probe or index.n_probe) < len(index.centroids):
+                ways.insert(0, [int(c) for c in index.cells(np.asarray([vector], np.float64), n_probe or index.n_probe)[0]])
+            for cells in ways:
+                rows = self._with_buffer(self._on_disk(cells=cells))
+                if max_scanned is not None and scanned + (n := rows.count()) > max_scanned:
+                    raise Cancelled(f"{scanned + n} rows; at most {max_scanned} may be scanned")
+                read, passed = Observation(), Observation()
+                rows = rows.observe(read, F.count(F.lit(1)).alias("n"))
+                rows = (rows if condition is None else rows.where(condition)).observe(passed, F.count(F.lit(1)).alias("n"))
+                found = self.search_frame(vector, k, None, metric, min_score, include, rows).collect()
+                scanned, considered, approximate = scanned + read.get["n"], considered + passed.get["n"], cells is not None
+                if len(found) == k:
+                    break
         finally:
             if tag:
                 self.spark.removeTag(tag)
         hits = [Hit(r["id"], r["score"], r["distance"], self._returned(r, include)) for r in found]
-        return SearchResponse(hits, SearchStats("ann" if approximate else "flat", not approximate, considered, total, total - considered))
+        return SearchResponse(hits, SearchStats("flat" if index is None else "ann", not approximate, considered, scanned, scanned - considered))
 
     def search_batch(self, queries: DataFrame, k: int = 10, where: Filter | dict | None = None, metric: str | None = None, min_score: float | None = None) -> DataFrame:
         """query_id, id, score, distance, rank for each row (query_id, vector) of queries."""
         return knn_batch(self.frame(), queries, k, metric or self.spec.metric, self._condition(where), min_score)
 
-    def index(self) -> ann.Index:
-        """The approximate index of the present state; made anew after any change."""
-        key = f"{self.name}/{self.database.state['version']}/{self._last_seq}"
-        if self._index is None or self._index.key != key:
-            self._index = ann.fit(self.frame(), self.spec.metric, key=key)
+    # The approximate index.
+
+    def index(self) -> ann.Index | None:
+        """The index named in the manifest; where there is none that can be read, a new one, unless the database is read-only."""
+        return self._restored() or (None if self.database.config.read_only else self.build_index())
+
+    def _restored(self) -> ann.Index | None:
+        entry = self._state.get("index")
+        if not entry:
+            return None
+        if self._index is None or self._index.number != entry["number"]:
+            name = f"c_{self.name}/index-{entry['number']}.json"
+            value = self.files.read_record(name) if self.files.exists(name) else None
+            fits = value is not None and value["metric"] == self.spec.metric and value["shape"][1] in (0, self.spec.dimension)
+            self._index = ann.Index.restored(value, entry["number"]) if fits else None
+        return self._index
+
+    def build_index(self, cells: int | None = None) -> ann.Index | None:
+        """Fits an index to the present rows, stores them by its cells, and makes both the state in one commit."""
+        self.database._writable()
+        if self.spec.index != "ann":
+            raise InvalidConfig(f"{self.name}: its index is flat")
+        self.flush()
+        live = self._on_disk()
+        fitted = ann.fit(live, self.spec.metric, cells)
+        if not len(fitted.centroids):
+            return None
+        state, old = self._state, self._state.get("index")
+        number, replaced, gone = self._take_number(), list(state["segments"]), list(state["dead"])
+        probing = ann.calibrated(ann.assign(live, fitted), fitted)
+        self._index = ann.Index(fitted.centroids, fitted.metric, probing.n_probe, number)
+        self.files.delete(f"c_{self.name}/index-{number}.json")  # left by a run that ended before its commit
+        self.files.create_record(f"c_{self.name}/index-{number}.json", self._index.snapshot())
+        n = self._write_segment(live, self._index)
+        state["segments"] = state["segments"][len(replaced) :]
+        state["index"], state["dead"] = {"number": number, "rows": n}, []
+        self.database._commit()
+        for name in [f"seg-{s['number']}" for s in replaced] + [f"dead-{d}" for d in gone] + ([f"index-{old['number']}.json"] if old else []):
+            self.files.delete(f"c_{self.name}/{name}")
         return self._index
 
     # Writes.
@@ -547,14 +651,19 @@ class Collection:
         self._state["next"] += 1
         return self._state["next"] - 1
 
-    def _write_segment(self, rows: DataFrame) -> int:
-        number = self._take_number()
+    def _write_segment(self, rows: DataFrame, index: ann.Index | None = None) -> int:
+        """A segment of these rows, stored by the cells of the index, if there is one."""
+        number, index = self._take_number(), index or self._restored()
         name = f"c_{self.name}/seg-{number}"
         self.files.delete(name)  # left by a run that ended before its commit
-        rows.withColumn("segment", F.lit(number).cast("long")).select(*row_schema(self.spec).names).write.parquet(self.files.url(name))
+        rows = rows.withColumn("segment", F.lit(number).cast("long")).select(*row_schema(self.spec).names)
+        if index is None:
+            rows.write.parquet(self.files.url(name))
+        else:
+            ann.stored(rows, index, self.files.url(name))
         n = self.spark.read.schema(row_schema(self.spec)).parquet(self.files.url(name)).count()
         if n:
-            self._state["segments"].append({"number": number, "rows": n})
+            self._state["segments"].append({"number": number, "rows": n} | ({"index": index.number} if index else {}))
         else:
             self.files.delete(name)
         return n
@@ -629,6 +738,7 @@ class Collection:
             "buffered": sum(d is not None for _, d in self._buffer.values()),
             "buffer_bytes": self._buffer_bytes,
             "dead_ratio": found["dead_ratio"],
+            "indexed": sum(s["rows"] for s in self._state["segments"] if s.get("index") and s["index"] == (self._state.get("index") or {}).get("number")),
             **asdict(self.spec),
         }
 
@@ -636,6 +746,12 @@ class Collection:
         """Rewrites the segments with at least this share of dead rows into one; 0 rewrites all."""
         self.database._writable()
         self.flush()
+        entry = self._state.get("index")
+        if entry and sum(s["rows"] for s in self._state["segments"]) > REFIT * entry["rows"]:
+            held = len(self._state["segments"])
+            before = sum(s["rows"] for s in self._state["segments"])
+            self.build_index()
+            return {"rewritten": held, "created": 1, "reclaimed": before - sum(s["rows"] for s in self._state["segments"])}
         ratios = {r["segment"]: r for r in segment_stats(self._marked()).collect()}  # a row for each segment
         chosen = [n for n, r in ratios.items() if r["dead_ratio"] >= min_dead_ratio]
         if not chosen:
@@ -658,11 +774,15 @@ class Collection:
     def verify_into(self, report: VerifyReport) -> None:
         state, there = self._state, set(self.files.names(f"c_{self.name}"))
         wanted = {f"seg-{s['number']}" for s in state["segments"]} | {f"dead-{n}" for n in state["dead"]}
-        own: dict[str, Any] = {"segments": len(state["segments"])}
+        entry = state.get("index")
+        own: dict[str, Any] = {"segments": len(state["segments"]), "index": entry and entry["number"]}
+        if entry and (self._restored() is None or report.level != "quick" and self.files.read_record(f"c_{self.name}/index-{entry['number']}.json") is None):
+            report.warnings.append(f"{self.name}: index {entry['number']} can't be read; it is fitted anew when it is needed")
+        named = {f"index-{entry['number']}.json"} if entry else set()
         report.collections[self.name] = own
         report.segments_checked += len(state["segments"])
         report.errors += [f"{self.name}: {n} is missing" for n in sorted(wanted - there)]
-        report.warnings += [f"{self.name}: orphan {n}" for n in sorted(there - wanted - {"log"})]
+        report.warnings += [f"{self.name}: orphan {n}" for n in sorted(there - wanted - named - {"log"})]
         if wanted - there:
             return
         try:
@@ -680,7 +800,7 @@ class Collection:
             verifying = "parquet.page.verify-checksum.enabled"
             full = self.spark.read.schema(row_schema(self.spec)).option(verifying, "true")
             if state["segments"]:
-                every = full.parquet(*(self.files.url(f"c_{self.name}/seg-{s['number']}") for s in state["segments"]))
+                every = reduce(DataFrame.unionByName, (full.parquet(self.files.url(f"c_{self.name}/seg-{s['number']}")) for s in state["segments"]))
                 tests = every.agg(
                     F.count(F.when(F.col("id").isNull(), 1)).alias("no_id"),
                     F.count(F.when(~valid_vector(F.col("vector"), self.spec.dimension), 1)).alias("vector"),

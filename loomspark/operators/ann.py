@@ -1,14 +1,18 @@
 """An approximate index: an inverted file of cells around centroids, with exact re-scoring and an exact fallback.
 
-Centroids come from Lloyd's iterations on a bounded sample of ``SAMPLE_ROWS`` rows, chosen by a hash of the id; every row
-is then assigned to its nearest centroid. A search visits the ``n_probe`` cells nearest to the query and scores their
-rows exactly. If it finds fewer than k, it scans everything, so no search returns fewer rows than an exact one.
+Centroids come from Lloyd's iterations on a sample of at most ``SAMPLE_PER_CELL`` rows for each of at most ``MAX_CELLS`` cells,
+chosen by a hash of the id; every row is then assigned to its nearest centroid. Rows are stored by cell, as folders of a
+Parquet table, so that a search reads the ``n_probe`` cells nearest to the query and nothing else, and scores their rows
+exactly. If it finds fewer than k, it scans everything, so no search returns fewer rows than an exact one. Centroids can
+be written down and read back; rows that come later are assigned to them without a new fit.
 """
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -19,101 +23,138 @@ from loomspark.functions.vectors import distance_from_score, matrix, scores
 from loomspark.operators.search import knn, knn_batch
 from loomspark.types import check_top_k
 
-#: Rows that centroids are fitted to, whatever the corpus.
-SAMPLE_ROWS = 20_000
+#: Bounds of the centroids (as doubles of 384 dimensions: 6 MB) and of the rows that they are fitted to.
+MAX_CELLS, SAMPLE_PER_CELL = 2048, 64
 ITERATIONS = 12
-#: Rows that the number of visited cells is fitted to.
-CALIBRATION_QUERIES = 64
+#: Rows that the number of visited cells is fitted to, and the share of their neighbours that it must reach.
+CALIBRATION_QUERIES, TARGET = 64, 0.97
+#: Rows compared with the centroids at a time.
+ROWS_AT_ONCE = 8192
 
 
 @dataclass(frozen=True)
 class Index:
-    """Centroids (cells, d) under a metric, and the key of the state they were made from."""
+    """Centroids (cells, d) under a metric, how many cells a search visits, and the number of its snapshot."""
 
     centroids: np.ndarray
     metric: str
-    key: str = ""
+    n_probe: int = 8
+    number: int = 0
 
     def cells(self, rows: np.ndarray, n: int = 1) -> np.ndarray:
-        """The n nearest cells of each row; under cosine and dot, rows are compared by direction."""
-        found = scores("l2" if self.metric == "l2" else "cosine", self.centroids, rows)
-        found = np.nan_to_num(found, nan=-np.inf)
-        return np.argsort(-found, axis=1, kind="stable")[:, :n]
-
-
-def fit(corpus: DataFrame, metric: str = "cosine", cells: int | None = None, id: str = "id", vector: str = "vector", seed: int = 7, key: str = "") -> Index:
+        """The n nearest cells of each row, nearest first; under cosine and dot, rows are compared by direction."""
+        out = []
+        for i in range(0, len(rows), ROWS_AT_ONCE):
+            found = scores("l2" if self.metric == "l2" else "cosine", self.centroids, rows[i : i + ROWS_AT_ONCE])
+            found = np.nan_to_num(found, nan=-np.inf)
+            if n == 1:
+                out.append(found.argmax(axis=1)[:, None])
+                continue
+            some = np.argpartition(-found, min(n, found.shape[1]) - 1, axis=1)[:, :n]
+            order = np.argsort(-np.take_along_axis(found, some, 1), axis=1, kind="stable")
+            out.append(np.take_along_axis(some, order, 1))
+        return np.concatenate(out) if out else np.zeros((0, n), np.int64)
+
+    def snapshot(self) -> dict[str, Any]:
+        """The index as a JSON value."""
+        data = base64.b64encode(np.ascontiguousarray(self.centroids, "<f8").tobytes()).decode()
+        return {"metric": self.metric, "shape": list(self.centroids.shape), "n_probe": self.n_probe, "centroids": data}
+
+    @staticmethod
+    def restored(value: dict[str, Any], number: int = 0) -> Index:
+        data = np.frombuffer(base64.b64decode(value["centroids"]), "<f8").reshape(value["shape"])
+        return Index(data, value["metric"], value["n_probe"], number)
+
+
+def _share(id: str, salt: str) -> Column:
+    """A number from 0 to 1 for each row, by a hash of its id."""
+    return F.pmod(F.xxhash64(F.col(id), F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def fit(corpus: DataFrame, metric: str = "cosine", cells: int | None = None, id: str = "id", vector: str = "vector", seed: int = 7) -> Index:
     """Centroids of a sample; cells defaults to about the square root of the number of rows."""
     total = corpus.count()
-    draw = F.pmod(F.xxhash64(F.col(id), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    rows = corpus.where(draw < min(1.0, 1.2 * SAMPLE_ROWS / max(total, 1))).select(id, vector).limit(2 * SAMPLE_ROWS).collect()
-    rows.sort(key=lambda r: r[0])
-    sample = np.array([r[1] for r in rows], np.float64)
-    if not len(sample):
-        return Index(np.zeros((0, 0)), metric, key)
+    n = min(cells or max(1, round(total**0.5)), MAX_CELLS)
+    wanted = SAMPLE_PER_CELL * n
+    sampled = corpus.where(_share(id, f"fit {seed}") < min(1.0, 1.2 * wanted / max(total, 1))).select(id, vector).limit(2 * wanted).toArrow()
+    if not len(sampled):
+        return Index(np.zeros((0, 0)), metric)
+    sampled = sampled.sort_by(id)
+    sample = matrix(sampled.column(1), len(sampled.column(1)[0]))
+    sample = sample[np.isfinite(sample).all(axis=1)]
     if metric != "l2":
         norm = np.sqrt((sample**2).sum(1, keepdims=True))
         sample = np.divide(sample, norm, out=np.zeros_like(sample), where=norm > 0)
-    n = min(cells or max(1, round(total**0.5)), len(sample))
+    n = min(n, len(sample))
     centroids = sample[np.random.default_rng(seed).choice(len(sample), n, replace=False)]
     for _ in range(ITERATIONS):
-        nearest = scores("l2", sample, centroids).argmax(0)
-        sums = np.zeros_like(centroids)
-        np.add.at(sums, nearest, sample)
-        size = np.bincount(nearest, minlength=n)
+        sums, size = np.zeros_like(centroids), np.zeros(n, np.int64)
+        for i in range(0, len(sample), ROWS_AT_ONCE):
+            part = sample[i : i + ROWS_AT_ONCE]
+            nearest = scores("l2", part, centroids).argmax(0)
+            order = np.argsort(nearest, kind="stable")
+            own, first = np.unique(nearest[order], return_index=True)
+            sums[own] += np.add.reduceat(part[order], first, axis=0)
+            size += np.bincount(nearest, minlength=n)
         centroids = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centroids)
-    return Index(centroids, metric, key)
+    return Index(centroids, metric)
 
 
 def assign(corpus: DataFrame, index: Index, vector: str = "vector") -> DataFrame:
-    """corpus with a column cell. Centroids are held by every task: at most the root of the corpus' rows."""
-    columns, dimension = corpus.columns, index.centroids.shape[1]
+    """corpus with a column cell. Centroids are held by every task: at most MAX_CELLS."""
+    dimension, metric = index.centroids.shape[1] if len(index.centroids) else 0, index.metric
 
-    def run(batches):
-        for batch in batches:
-            rows = matrix(batch.column(columns.index(vector)), dimension)
-            cell = index.cells(rows)[:, 0] if len(rows) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], [*columns, "cell"])
+    @F.arrow_udf("int")
+    def nearest(column: pa.Array) -> pa.Array:
+        return pa.array(Index(index.centroids, metric).cells(matrix(column, dimension))[:, 0].astype(np.int32))
 
-    if not len(index.centroids):
-        return corpus.withColumn("cell", F.lit(0))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in corpus.schema.fields)
-    return corpus.mapInArrow(run, f"{shape}, cell int")
+    return corpus.withColumn("cell", nearest(F.col(vector)) if dimension else F.lit(0))
 
 
-def probes_for(assigned: DataFrame, index: Index, k: int, target: float = 0.95, queries: int = CALIBRATION_QUERIES, id: str = "id", vector: str = "vector") -> int:
-    """How many cells to visit so that ``target`` of the true neighbours of a sample of rows are in them.
+def stored(corpus: DataFrame, index: Index, path: str, vector: str = "vector") -> DataFrame:
+    """corpus written to path by cell, as it is read back; large cells are split among tasks."""
+    assign(corpus, index, vector).hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
+    kept = [f for f in corpus.schema.fields if f.name != "cell"]
+    return corpus.sparkSession.read.schema(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", cell int").parquet(path)
+
+
+def calibrated(assigned: DataFrame, index: Index, k: int = 10, target: float = TARGET, queries: int = CALIBRATION_QUERIES, id: str = "id", vector: str = "vector") -> Index:
+    """The index with as many visited cells as hold ``target`` of the true neighbours of a sample of rows.
 
     The sample is bounded by ``queries``; its neighbours are searched exactly among all rows.
     """
     total = assigned.count()
-    draw = F.pmod(F.xxhash64(F.col(id), F.lit("calibration")), F.lit(1 << 30)) / float(1 << 30)
-    sample = assigned.where(draw < min(1.0, 2.0 * queries / max(total, 1))).orderBy(F.xxhash64(F.col(id))).limit(queries)
+    sample = assigned.where(_share(id, "calibration") < min(1.0, 2.0 * queries / max(total, 1))).orderBy(F.xxhash64(F.col(id))).limit(queries)
     rows = {r["query_id"]: r["query"] for r in sample.select(F.col(id).alias("query_id"), F.col(vector).alias("query")).collect()}
     if not rows or len(index.centroids) < 2:
-        return max(1, len(index.centroids))
+        return Index(index.centroids, index.metric, max(1, len(index.centroids)), index.number)
     stated = assigned.sparkSession.createDataFrame(list(rows.items()), f"query_id {assigned.schema[id].dataType.simpleString()}, query array<double>")
     near = knn_batch(assigned, stated, k, index.metric, id=id, vector=vector, query_vector="query").select("query_id", "id")
     found = near.join(assigned.select(F.col(id).alias("id"), "cell"), "id").select("query_id", "cell").collect()  # queries * k rows
-    order = {q: np.argsort(index.cells(np.asarray([v], np.float64), len(index.centroids))[0]) for q, v in rows.items()}
-    places = np.sort([order[r["query_id"]][r["cell"]] for r in found])
-    return int(places[min(len(places) - 1, int(np.ceil(target * len(places))))]) + 1
+    place = {q: np.argsort(index.cells(np.asarray([v], np.float64), len(index.centroids))[0]) for q, v in rows.items()}
+    places = np.sort([place[r["query_id"]][r["cell"]] for r in found])
+    return Index(index.centroids, index.metric, int(places[min(len(places) - 1, int(np.ceil(target * len(places))))]) + 1, index.number)
 
 
-def ann_knn(assigned: DataFrame, index: Index, query: Sequence[float], k: int, n_probe: int = 8, where: Column | None = None, min_score: float | None = None, id: str = "id", vector: str = "vector", include: Sequence[str] = ()) -> DataFrame:
-    """As knn, from the n_probe nearest cells; from all where those hold fewer than k matches."""
+def ann_knn(assigned: DataFrame, index: Index, query: Sequence[float], k: int, n_probe: int | None = None, where: Column | None = None, min_score: float | None = None, id: str = "id", vector: str = "vector", include: Sequence[str] = ()) -> DataFrame:
+    """As knn, from the n_probe nearest cells; from all where those hold fewer than k matches. At most k rows are collected."""
     check_top_k(k)
-    if not len(index.centroids):
-        return knn(assigned, query, k, index.metric, where, min_score, id, vector, include)
-    probed = [int(c) for c in index.cells(np.asarray([query], np.float64), n_probe)[0]]
-    found = knn(assigned.where(F.col("cell").isin(probed)), query, k, index.metric, where, min_score, id, vector, include)
-    if n_probe < len(index.centroids) and found.count() < k:
-        return knn(assigned, query, k, index.metric, where, min_score, id, vector, include)
-    return found
+    n_probe = n_probe or index.n_probe
+    if n_probe < len(index.centroids):
+        probed = [int(c) for c in index.cells(np.asarray([query], np.float64), n_probe)[0]]
+        found = knn(assigned.where(F.col("cell").isin(probed)), query, k, index.metric, where, min_score, id, vector, include)
+        rows = found.collect()
+        if len(rows) == k:
+            return assigned.sparkSession.createDataFrame(rows, found.schema)
+    return knn(assigned, query, k, index.metric, where, min_score, id, vector, include)
 
 
-def ann_knn_batch(assigned: DataFrame, index: Index, queries: DataFrame, k: int, n_probe: int = 8, id: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "vector") -> DataFrame:
+def ann_knn_batch(assigned: DataFrame, index: Index, queries: DataFrame, k: int, n_probe: int | None = None, where: Column | None = None, id: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "vector") -> DataFrame:
     """As knn_batch, joining each query with the rows of its n_probe cells; what is short of k is searched exactly."""
     check_top_k(k)
+    n_probe = n_probe or index.n_probe
+    if where is not None:
+        assigned = assigned.where(where)
     columns, dimension = ["query_id", "query"], index.centroids.shape[1]
     stated = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("query"))
     if not len(index.centroids):

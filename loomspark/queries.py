@@ -5,16 +5,20 @@ Scores are rounded to six places before ranking, on both sides, so that ties are
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.database import Collection, Database
 from loomspark.functions import vectors as V
 from loomspark.operators import ann, changes, maintenance
 from loomspark.operators.search import knn, knn_batch, normalised, recall, within_score
 from loomspark.plans import filters as P
 from loomspark.plans.filters import TypedFields, VariantFields, compile_filter
+from loomspark.sources.files import Files, shared_folder
+from loomspark.types import BatchAborted, Cancelled, Document, DocumentNotFound, DuplicateId
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,6 +39,11 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
+def _place(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _described(spark: SparkSession, d: str) -> DataFrame:
     """The corpus with its documents' fields as metadata; embeddings without a document have none."""
     about = _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")
@@ -159,29 +168,62 @@ _add("knn_batch_filtered", knn_batch_filtered, _batch_sql("dot", 10, "c.label <
 # The approximate index.
 
 
-def ann_topk(spark: SparkSession, d: str) -> DataFrame:
+def _exact(corpus: DataFrame, metric: str, where=None) -> DataFrame:
+    return knn_batch(corpus, _stated_queries(corpus), 10, metric, where=where, digits=DIGITS)
+
+
+def _approximate(spark: SparkSession, d: str, metric: str = "cosine", where=None) -> DataFrame:
+    """The stated queries against an index fitted to the corpus and stored by cell."""
     corpus = _corpus(spark, d)
-    index = ann.fit(corpus)
-    assigned = ann.assign(corpus, index)
-    return ann.ann_knn_batch(assigned, index, _stated_queries(corpus), 10, n_probe=ann.probes_for(assigned, index, 10, 0.97))
+    index = ann.fit(corpus, metric)
+    cells = ann.stored(corpus, index, _place(spark, "cells"))
+    return ann.ann_knn_batch(cells, ann.calibrated(cells, index), _stated_queries(corpus), 10, where=where)
+
+
+def ann_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _approximate(spark, d)
+
+
+def _recall(metric: str, where=None):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """Whether the approximate index finds nine of ten of the exact neighbours of the stated queries, over all rows."""
+        found = recall(_approximate(spark, d, metric, where), _exact(_corpus(spark, d), metric, where))
+        return found.select((F.col("recall") >= 0.9).alias("enough"))
+
+    return run
 
 
 def ann_recall(spark: SparkSession, d: str) -> DataFrame:
     """Recall of the approximate index, over all rows, and whether it reaches 0.9."""
-    exact = knn_batch_topk(spark, d)
-    return recall(ann_topk(spark, d), exact).withColumn("enough", F.col("recall") >= 0.9)
+    return recall(ann_topk(spark, d), knn_batch_topk(spark, d)).withColumn("enough", F.col("recall") >= 0.9)
 
 
 def ann_fallback(spark: SparkSession, d: str) -> DataFrame:
     """One cell can't hold so many matches: the search falls back to all of them."""
     corpus = _corpus(spark, d)
     index = ann.fit(corpus)
-    return ann.ann_knn(ann.assign(corpus, index), index, _first_vector(spark, d), 100, n_probe=1, where=F.col("label") >= 2).select("id", F.round("score", DIGITS).alias("score"))
+    cells = ann.stored(corpus, index, _place(spark, "cells"))
+    return ann.ann_knn(cells, index, _first_vector(spark, d), 100, n_probe=1, where=F.col("label") >= 2).select("id", F.round("score", DIGITS).alias("score"))
 
 
 _add("ann_topk", ann_topk)
 _add("ann_recall", ann_recall)
-_add("ann_fallback", ann_fallback)
+_add("ann_fallback", ann_fallback, _knn_sql("cosine", 100, "label >= 2").replace(", 1 - score as distance", ""))
+for _name, _metric, _where in (("cosine", "cosine", None), ("l2", "l2", None), ("dot", "dot", None), ("filtered", "cosine", "label < 5")):
+    _add(f"ann_recall_{_name}", _recall(_metric, _where), "select true as enough")
+
+
+def knn_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of 256 components, which are scored by numpy in Arrow batches."""
+    four = lambda v: F.concat(v, F.transform(v, lambda x: -x), v, F.reverse(v))
+    corpus = _corpus(spark, d).withColumn("vector", four(F.col("vector")))
+    query = corpus.where("id = 0").select("vector").first()[0]
+    every = [knn(corpus, query, 5, m, digits=DIGITS).withColumn("metric", F.lit(m)) for m in ("cosine", "l2", "dot")]
+    return every[0].unionByName(every[1]).unionByName(every[2])
+
+
+_WIDE = "list_concat(list_concat(embedding, list_transform(embedding, lambda x: -x)), list_concat(embedding, list_reverse(embedding)))"
+_add("knn_wide", knn_wide, " union all ".join(f"(select *, '{m}' as metric from ({_knn_sql(m, 5).replace('from embeddings', 'from wide')}))" for m in ("cosine", "l2", "dot")).join((f"with wide as (select vec_id, label, {_WIDE} as embedding from embeddings) select * from (", ")")))
 
 # Vector functions.
 
@@ -395,13 +437,6 @@ def verify_duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
     return maintenance.duplicate_ids(_segments(spark, d).withColumn("live", F.lit(True)))
 
 
-def database_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Collections by event type, and their sums."""
-    rows = _table(spark, d, "events").groupBy(F.col("event_type").alias("collection")).agg(F.count("*").alias("total_rows"), F.countDistinct("user_id").alias("live"))
-    sums = rows.agg(F.lit("*").alias("collection"), F.sum("total_rows").alias("total_rows"), F.sum("live").alias("live"))
-    return rows.unionByName(sums)
-
-
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "events")
     return maintenance.percentile(rows, "value", 0.5).select(F.lit("p50").alias("name"), "value").unionByName(maintenance.percentile(rows, "value", 0.95).select(F.lit("p95").alias("name"), "value"))
@@ -412,32 +447,236 @@ _add("collection_stats", collection_stats, f"with {_MARKED} select count(*) as s
 _add("compact_report", compact_report, f"with {_MARKED} select count(*) as rewritten, cast(case when coalesce(sum(live), 0) > 0 then 1 else 0 end as bigint) as created, cast(coalesce(sum(rows - live), 0) as bigint) as reclaimed from ss where dead_ratio >= 0.99")
 _add("live_ids", live_ids, f"with {_MARKED} select distinct id from m where live")
 _add("verify_duplicate_ids", verify_duplicate_ids, f"with {_LOG} select id, count(*) as copies from log where op = 'put' group by id having count(*) > 1")
-_add("database_stats", database_stats, "with r as (select event_type as collection, count(*) as total_rows, count(distinct user_id) as live from events group by 1) select * from r union all select '*', cast(sum(total_rows) as bigint), cast(sum(live) as bigint) from r")
 _add("latency_percentiles", latency_percentiles, "select 'p50' as name, quantile_disc(value, 0.5) as value from events union all select 'p95', quantile_disc(value, 0.95) from events")
 
-# The stored engine, end to end.
+# The stored engine, end to end. Each query makes a database of its own in the shared folder.
+
+
+def _filled(spark: SparkSession, d: str, name: str, **options) -> tuple[Database, Collection]:
+    """A database with all embeddings, label, lang and n_chars being their metadata."""
+    db = Database(spark, _place(spark, name))
+    own = db.create_collection("vectors", 64, "cosine", id_kind="u64", **options)
+    own.upsert_frame(_described(spark, d).select("id", "vector", F.to_variant_object(F.struct("label", "lang", "n_chars")).alias("metadata")))
+    return db, own
+
+
+def _rows(spark: SparkSession, rows: list[tuple], shape: str) -> DataFrame:
+    return spark.createDataFrame(rows, shape)
+
+
+def _fields(own: Collection) -> DataFrame:
+    return own.frame().select("id", F.try_variant_get("metadata", "$.label", "long").alias("label"), F.try_variant_get("metadata", "$.lang", "string").alias("lang"))
 
 
 def store_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """All embeddings through a stored collection: bulk upsert, a second version of a third of them, deletion, compaction."""
-    import tempfile
-    import uuid
-
-    from loomspark.database import Database
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomspark-store-")
-    rows = _described(spark, d)
-    metadata = F.to_variant_object(F.struct("label", "lang", "n_chars")).alias("metadata")
-    db = Database(spark, f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}")
-    own = db.create_collection("vectors", 64, "cosine", id_kind="u64")
-    own.upsert_frame(rows.select("id", "vector", metadata))
-    again = rows.where("id % 3 = 0").select("id", "vector", F.to_variant_object(F.struct((F.col("label") + 10).alias("label"), "lang", "n_chars")).alias("metadata"))
+    db, own = _filled(spark, d, "round-trip")
+    again = _described(spark, d).where("id % 3 = 0").select("id", "vector", F.to_variant_object(F.struct((F.col("label") + 10).alias("label"), "lang", "n_chars")).alias("metadata"))
     own.upsert_frame(again)
     own.write_batch([("delete", i) for i in range(0, 100, 5)])
     own.compact(0.3)
-    found = own.frame().select("id", F.try_variant_get("metadata", "$.label", "long").alias("label"), F.try_variant_get("metadata", "$.lang", "string").alias("lang"))
+    found = _fields(own)
     db.close()
     return found
 
 
-_add("store_round_trip", store_round_trip, "select vec_id as id, cast(case when vec_id % 3 = 0 then label + 10 else label end as bigint) as label, lang from embeddings left join documents on doc_id = vec_id where not (vec_id < 100 and vec_id % 5 = 0)")
+def store_reads(spark: SparkSession, d: str) -> DataFrame:
+    """get, require, contains, ids and count, of documents on disk, buffered, replaced, deleted and absent."""
+    db, own = _filled(spark, d, "reads")
+    own.upsert(Document(3, [1.0] * 64, {"label": 77}))
+    own.delete(4)
+    rows = []
+    for i in (0, 3, 4, 5, 1 << 40):
+        doc = own.get(i)
+        there = i in own
+        try:
+            required = own.require(i).metadata["label"]
+        except DocumentNotFound:
+            required = None
+        rows.append((i, there, doc and doc.metadata["label"], required, doc and round(doc.vector[0], DIGITS), own.count(), own.ids().count()))
+    db.close()
+    return _rows(spark, rows, "id long, there boolean, label long, required long, first double, documents long, ids long")
+
+
+def store_inserts(spark: SparkSession, d: str) -> DataFrame:
+    """insert refuses what is there; upsert and delete tell what was; a batch is all or nothing."""
+    db, own = _filled(spark, d, "inserts")
+    told = []
+    for i in (1, 10_000_000):
+        try:
+            own.insert(Document(i, [0.5] * 64))
+            told.append((f"insert {i}", "inserted"))
+        except DuplicateId:
+            told.append((f"insert {i}", "duplicate"))
+    told += [(f"upsert {i}", own.upsert(Document(i, [0.25] * 64))) for i in (2, 10_000_001)]
+    told += [(f"delete {i}", "was there" if own.delete(i) else "missing") for i in (2, 2, 10_000_002)]
+    before = own.count()
+    try:
+        own.write_batch([("delete", 5), ("upsert", Document(6, [1.0]))])
+    except BatchAborted as e:
+        told.append(("batch", f"aborted at {e.failed_at} of {e.total_ops}, {own.count() - before} rows changed"))
+    report = own.write_batch([("upsert", Document(7, [1.0] * 64)), ("upsert", Document(10_000_003, [1.0] * 64)), ("delete", 8), ("delete", 10_000_004)])
+    told.append(("report", f"{report.inserted} {report.updated} {report.deleted} {report.missing_deletes}"))
+    db.close()
+    return _rows(spark, told, "step string, outcome string")
+
+
+def store_search(spark: SparkSession, d: str) -> DataFrame:
+    """Collection.search with a filter over stored metadata."""
+    db, own = _filled(spark, d, "search")
+    found = own.search(_first_vector(spark, d), 20, {"lang": "en", "label": {"$lt": 7}})
+    db.close()
+    return _rows(spark, [(h.id, round(h.score, DIGITS), h.document.metadata["label"]) for h in found.hits], "id long, score double, label long")
+
+
+def store_search_stats(spark: SparkSession, d: str) -> DataFrame:
+    """What a filtered search reads and considers; a search that would read more than it may is refused."""
+    db, own = _filled(spark, d, "stats")
+    query = _first_vector(spark, d)
+    stats = own.search(query, 5, {"label": 3}).stats
+    try:
+        own.search(query, 5, max_scanned=10)
+        refused = False
+    except Cancelled:
+        refused = True
+    db.close()
+    return _rows(spark, [(stats.index, stats.exact, stats.considered, stats.scanned, stats.skipped, refused)], "index string, exact boolean, considered long, scanned long, skipped long, refused boolean")
+
+
+def store_ann(spark: SparkSession, d: str) -> DataFrame:
+    """A stored index survives reopening, takes in rows that come later, reads few rows, and finds nine of ten neighbours."""
+    db, own = _filled(spark, d, "ann", index="ann")
+    number = own.build_index().number
+    query = own.get(0).vector
+    own.upsert(Document(20_000_000, query, {"label": 1}))
+    db.close()
+    with Database(spark, db.files.root) as db:
+        own = db.collection("vectors")
+        fast, exact = own.search(query, 10), own.search(query, 10, exact=True)
+        new = {h.id for h in fast.hits[:2]} == {0, 20_000_000}
+        near = len({h.id for h in fast.hits} & {h.id for h in exact.hits})
+        rows = [(own.index().number == number, not fast.stats.exact and exact.stats.exact, new, near >= 9, fast.stats.scanned <= exact.stats.scanned, own.stats()["indexed"])]
+    return _rows(spark, rows, "same_index boolean, approximate boolean, new_row boolean, near boolean, fewer_read boolean, indexed long")
+
+
+def store_verify(spark: SparkSession, d: str) -> DataFrame:
+    """Every level of verification finds a sound database clean, and a lost segment missing."""
+    db, own = _filled(spark, d, "verify")
+    rows = [(level, (r := db.verify(level)).is_clean, r.segments_checked, r.collections["vectors"]["live"]) for level in ("quick", "checksums", "full")]
+    db.files.delete("c_vectors/seg-1")
+    rows.append(("lost", (r := db.verify("quick")).is_clean, r.segments_checked, None))
+    db.close()
+    return _rows(spark, rows, "level string, clean boolean, segments long, live long")
+
+
+def store_reopen(spark: SparkSession, d: str) -> DataFrame:
+    """Changes that were logged and never flushed are there after reopening; the owner of the lock ended without closing."""
+    db, own = _filled(spark, d, "reopen")
+    own.write_batch([("delete", i) for i in range(50)] + [("upsert", Document(60, [1.0] * 64, {"label": 99, "lang": "xx"}))])
+    db._release()
+    with Database(spark, db.files.root) as db:
+        return written_once(_fields(db.collection("vectors")), _place(spark, "reopened"))
+
+
+def written_once(df: DataFrame, path: str) -> DataFrame:
+    """df as a table, for when what it reads is closed."""
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+class _Crash(BaseException):
+    pass
+
+
+def _crashing(files: Files, at: int):
+    """Lets the process end before the at-th change of a file; tells how many changes were begun."""
+    begun = 0
+
+    def failing(method):
+        def run(*a, **b):
+            nonlocal begun
+            begun += 1
+            if begun == at:
+                raise _Crash
+            return method(*a, **b)
+
+        return run
+
+    files.create, files.delete = failing(files.create), failing(files.delete)
+    return lambda: begun
+
+
+def store_crash_points(spark: SparkSession, d: str) -> DataFrame:
+    """An upsert, a flush and a compaction that end at any change of a file leave the state from before or from after."""
+    steps = {"upsert": lambda own: own.upsert(Document(1, [2.0, 0.0])), "flush": lambda own: own.flush(), "compact": lambda own: own.compact(0.0)}
+    rows = []
+    for name, act in steps.items():
+        sound, at, ended = 0, 0, False
+        while not ended:
+            at += 1
+            db = Database(spark, _place(spark, "crash"))
+            own = db.create_collection("c", 2, id_kind="u64")
+            own.upsert_many([Document(i, [1.0, float(i)]) for i in range(3)])
+            if name == "compact":
+                own.flush()
+                own.delete(2)
+                own.flush()
+            before = {0: 1.0, 1: 1.0} if name == "compact" else {0: 1.0, 1: 1.0, 2: 1.0}
+            allowed = [before, before | {1: 2.0}] if name == "upsert" else [before]
+            begun = _crashing(db.files, at)
+            try:
+                act(own)
+                ended = begun() < at
+            except _Crash:
+                pass
+            db._open = False  # the process is gone: the lock stays, and nothing is flushed
+            Files(spark, db.files.root).delete("LOCK")
+            with Database(spark, db.files.root) as again:
+                found = {r.id: r.x for r in again.collection("c").frame().select("id", F.col("vector")[0].alias("x")).collect()}
+                sound += found in allowed and again.verify("full").is_clean
+        rows.append((name, sound == at))
+    return _rows(spark, rows, "step string, sound boolean")
+
+
+def database_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Database.stats of three collections: what is live, stored, and in segments."""
+    db = Database(spark, _place(spark, "database"))
+    for part in range(3):
+        own = db.create_collection(f"part{part}", 64, id_kind="u64")
+        own.upsert_frame(_corpus(spark, d).where(F.col("id") % 3 == part).select("id", "vector"))
+        if part:
+            own.write_batch([("delete", i) for i in range(60)])
+            own.flush()
+    stats = db.stats()
+    rows = [(n, c["live"], c["total_rows"], c["segments"]) for n, c in stats["collections"].items()]
+    db.close()
+    return _rows(spark, [*rows, ("*", stats["live"], stats["total_rows"], stats["segments"])], "collection string, live long, total_rows long, segments long")
+
+
+_FIELDS = "cast(label as bigint) as label"
+_HERE = "embeddings left join documents on doc_id = vec_id"
+_add("store_round_trip", store_round_trip, f"select vec_id as id, cast(case when vec_id % 3 = 0 then label + 10 else label end as bigint) as label, lang from {_HERE} where not (vec_id < 100 and vec_id % 5 = 0)")
+_add(
+    "store_reads",
+    store_reads,
+    f"""with n as (select count(*) - 1 as documents from embeddings), asked as (select unnest([0, 3, 4, 5, 1099511627776]) as id)
+select asked.id, vec_id is not null and asked.id <> 4 as there, case when asked.id = 3 then 77 when asked.id <> 4 then label end as label, case when asked.id = 3 then 77 when asked.id <> 4 then label end as required,
+    case when asked.id = 3 then 1.0::double when asked.id <> 4 then round(cast(embedding[1] as double), {DIGITS}) end as first, documents, documents as ids from asked left join embeddings on vec_id = asked.id, n""",
+)
+_add(
+    "store_inserts",
+    store_inserts,
+    "select * from (values ('insert 1', 'duplicate'), ('insert 10000000', 'inserted'), ('upsert 2', 'updated'), ('upsert 10000001', 'inserted'), ('delete 2', 'was there'), ('delete 2', 'missing'), ('delete 10000002', 'missing'), ('batch', 'aborted at 1 of 2, 0 rows changed'), ('report', '1 1 1 1')) t(step, outcome)",
+)
+_add("store_search", store_search, f"select id, score, {_FIELDS} from ({_knn_sql('cosine', 20, 'lang = ' + chr(39) + 'en' + chr(39) + ' and label < 7', extra=', label')})")
+_add("store_search_stats", store_search_stats, "select 'flat' as index, true as exact, count(*) filter (label = 3) as considered, count(*) as scanned, count(*) filter (label <> 3) as skipped, true as refused from embeddings")
+_add("store_ann", store_ann, "select true as same_index, true as approximate, true as new_row, true as near, true as fewer_read, count(*) + 1 as indexed from embeddings")
+_add("store_verify", store_verify, "select level, level <> 'lost' as clean, 1::bigint as segments, case when level <> 'lost' then n end as live from (values ('quick'), ('checksums'), ('full'), ('lost')) t(level), (select count(*) as n from embeddings)")
+_add("store_reopen", store_reopen, f"select vec_id as id, case when vec_id = 60 then 99 else cast(label as bigint) end as label, case when vec_id = 60 then 'xx' else lang end as lang from {_HERE} where vec_id >= 50")
+_add("store_crash_points", store_crash_points, "select * from (values ('upsert', true), ('flush', true), ('compact', true)) t(step, sound)")
+_add(
+    "database_stats",
+    database_stats,
+    """with p as (select 'part' || (vec_id % 3) as collection, count(*) as total_rows, count(*) filter (vec_id % 3 = 0 or vec_id >= 60) as live, 1::bigint as segments from embeddings group by 1)
+select collection, live, total_rows, segments from p union all select '*', cast(sum(live) as bigint), cast(sum(total_rows) as bigint), 3::bigint from p""",
+)

@@ -232,10 +232,77 @@ def test_approximate_collection(spark, path):
         first = own.index()
         assert own.index() is first
         own.upsert(Document("new", query))
-        assert own.index() is not first and "new" in hits(own.search(query, 3))
+        assert own.index() is first and "new" in hits(own.search(query, 3))  # the index is kept, the new row found
         assert len(hits(own.search(query, 50, {"a": None}, n_probe=1))) == 50
 
 
+def ring(spark, n):
+    return spark.range(n).select(F.col("id").cast("string").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.sin(F.col("id") * 0.37 + i * (F.col("id") % 12))).alias("vector"))
+
+
+def test_index_snapshot_survives_reopening_and_takes_in_new_rows(spark, path, tmp_path):
+    with Database(spark, path) as db:
+        own = db.create_collection("a", 8, index="ann")
+        own.upsert_frame(ring(spark, 1500))
+        number, probes = own.build_index().number, own.index().n_probe
+        own.upsert_frame(ring(spark, 2000).where("cast(id as int) >= 1500"))
+        query = own.get("1700").vector
+        assert own.stats()["indexed"] == 2000 and own.stats()["segments"] == 2
+        found = own.search(query, 5)
+        assert found.hits[0].id == "1700" and not found.stats.exact and found.stats.scanned < 2000
+        plan = own._on_disk(cells=[3])._jdf.queryExecution().toString()
+        assert "PartitionFilters: [isnotnull(cell" in plan and "(cell" in plan
+    with Database(spark, path, Config(create_if_missing=False, read_only=True)) as db:
+        own = db.collection("a")
+        assert own.index().number == number and own.index().n_probe == probes and db.verify("full").is_clean
+    snapshot = tmp_path / f"db/c_a/index-{number}.json"
+    snapshot.write_text(snapshot.read_text()[:-50])
+    for f in (tmp_path / "db/c_a").glob(".index*.crc"):
+        f.unlink()
+    with Database(spark, path, Config(create_if_missing=False, read_only=True)) as db:  # exact, for want of an index
+        own = db.collection("a")
+        assert own.index() is None and own.search(query, 5).stats.exact and own.search(query, 5).hits[0].id == "1700"
+        report = db.verify("quick")
+        assert report.is_clean and any("can't be read" in w for w in report.warnings)
+    with Database(spark, path) as db:  # fitted anew
+        own = db.collection("a")
+        assert own.search(query, 5).hits[0].id == "1700" and own.index().number != number and own.count() == 2000
+        own.upsert_frame(ring(spark, 9000))
+        assert own.compact(0.9)["created"] == 1 and own.stats()["indexed"] == 9000  # grown by more than REFIT
+
+
+def test_a_budget_counts_the_rows_read(spark, path):
+    with Database(spark, path) as db:
+        own = db.create_collection("a", 8, index="ann")
+        own.upsert_frame(ring(spark, 3000))
+        query = own.get("5").vector
+        needed = own.search(query, 5).stats.scanned
+        assert needed < 3000 and own.search(query, 5, max_scanned=needed).hits
+        with pytest.raises(Cancelled):
+            own.search(query, 5, max_scanned=needed - 1)
+        with pytest.raises(Cancelled):
+            own.search(query, 5, max_scanned=2999, exact=True)
+
+
+def test_a_lock_dies_with_its_owner(spark, path, tmp_path):
+    import subprocess
+    import sys
+    import time
+
+    db = Database(spark, path)
+    compass(db)
+    db._release()
+    gone = subprocess.run([sys.executable, "-c", "import os, socket; print(socket.gethostname(), os.getpid(), 'x')"], capture_output=True, text=True).stdout.strip()
+    db.files.create("LOCK", gone)
+    Database(spark, path).close()  # its process is gone
+    db.files.create("LOCK", "elsewhere 1 x")
+    with pytest.raises(AlreadyOpen):
+        Database(spark, path)
+    db.files._fs.setTimes(db.files._path("LOCK"), int((time.time() - 1000) * 1000), -1)
+    with Database(spark, path) as again:  # its lease has run out
+        assert again.collection("c").count() == 4
+
+
 def test_collections_and_limits(spark, path):
     with Database(spark, path) as db:
         own = compass(db)
