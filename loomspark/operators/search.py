@@ -82,30 +82,31 @@ def _best_in_task(queries: np.ndarray, metric: str, k: int, min_score: float | N
     """Top k of each query among the rows of a task, by score, then id."""
     dimension = queries.shape[1]
 
-    def best(found: np.ndarray, ids: np.ndarray, order: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-        ok = ~np.isnan(found)
-        if min_score is not None:
-            ok &= found >= min_score
-        if skip_self is not None:
-            ok &= ids != skip_self[q]
-        at = np.flatnonzero(ok)
-        if len(at) > k:  # all ties of the last place stay for the exact sort
-            at = at[found[at] >= np.partition(found[at], len(at) - k)[len(at) - k]]
-        at = at[np.lexsort((order[at], -found[at]))[:k]]
-        return found[at], ids[at]
+    def best(found: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.lexsort((ids, -found))[:k]
+        return found[first], ids[first]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object)) for _ in queries]
+        least = np.full(len(queries), -np.inf if min_score is None else min_score)  # what a row must reach
         kind = None
         for batch in batches:
             kind = batch.column(0).type
             ids = np.array(batch.column(0).to_pylist(), object) if not pa.types.is_integer(kind) else batch.column(0).to_numpy(zero_copy_only=False)
             found = scores(metric, matrix(batch.column(1), dimension), queries)
             found = (np.round(found, digits) if digits is not None else found) + 0.0
-            for q in range(len(queries)):
-                own = np.concatenate([kept[q][0], found[q]]), np.concatenate([kept[q][1].astype(ids.dtype), ids])
-                order = np.argsort(np.argsort(own[1], kind="stable"), kind="stable")
-                kept[q] = best(*own, order, q)
+            at_least = least
+            if found.shape[1] > k + 1:  # besides the row itself, which may be skipped
+                held = np.nan_to_num(found, nan=-np.inf)
+                at_least = np.maximum(least, np.partition(held, held.shape[1] - k - 1, axis=1)[:, held.shape[1] - k - 1])
+            for q, at in enumerate(found >= at_least[:, None]):  # all ties of the last place stay for the sort
+                at = np.flatnonzero(at)
+                if skip_self is not None:
+                    at = at[ids[at] != skip_self[q]]
+                if len(at):
+                    kept[q] = best(np.concatenate([kept[q][0], found[q][at]]), np.concatenate([kept[q][1].astype(ids.dtype), ids[at]]))
+                    if len(kept[q][0]) == k:
+                        least[q] = max(least[q], kept[q][0][-1])
         if kind is None:
             return
         number = np.repeat(np.arange(len(queries)), [len(s) for s, _ in kept])

@@ -238,6 +238,19 @@ class VariantFields:
             return reduce(lambda a, b: a & b, (F.coalesce(self.same(F.try_element_at(keys, F.lit(k)), x), F.lit(False)) for k, x in value.items()), F.schema_of_variant(v).startswith("OBJECT") & (F.size(keys) == len(value)))
         return self._scalar(v, value, lambda a, b: a == b)
 
+    def among(self, v: Column, values: list) -> Column:
+        """Whether v equals one of these booleans, numbers and strings: one switch on its kind."""
+        flags, texts = [x for x in values if isinstance(x, bool)], [x for x in values if isinstance(x, str)]
+        whole = [x for x in values if isinstance(x, int) and not isinstance(x, bool)]
+        real = [x for x in values if isinstance(x, float)]
+        kind, no = F.schema_of_variant(v), F.lit(False)
+        wide = self._to(v, "double").isin([float(x) for x in whole + real]) if whole or real else no
+        exact = self._to(v, "bigint").isin(whole) if whole else no
+        narrow = exact | self._to(v, "double").isin(real) if real else exact
+        found = F.when(kind == "STRING", self._to(v, "string").isin(texts) if texts else no).when(kind == "BIGINT", narrow)
+        found = found.when(kind == "BOOLEAN", self._to(v, "boolean").isin(flags) if flags else no)
+        return found.when((kind == "DOUBLE") | (kind == "FLOAT") | kind.startswith("DECIMAL"), wide)
+
     def order(self, v: Column, value: Any, test) -> Column:
         found = self._scalar(v, value, test)
         return F.lit(False) if found is None else found
@@ -351,7 +364,15 @@ def _compile(f: Filter, fields, positive: bool) -> Column:
     if f.op == "ne":
         return ~_compile(eq(f.field, f.value), fields, False)
     if f.op in ("in", "nin"):
-        found = _compile(any_of(*(eq(f.field, x) for x in f.value)), fields, positive and f.op == "in")
+        positive = positive and f.op == "in"
+        plain = [x for x in f.value if isinstance(x, bool | str) or _number(x) and x == x and -(1 << 63) <= x < 1 << 63]
+        if len(plain) > 1 and hasattr(fields, "among"):
+            own = fields.among(fields.get(f.field), plain)
+            rest = [eq(f.field, x) for x in f.value if not any(x is p for p in plain)]
+            found = own if positive else F.coalesce(own, F.lit(False))
+            found = found | _compile(any_of(*rest), fields, positive) if rest else found
+        else:
+            found = _compile(any_of(*(eq(f.field, x) for x in f.value)), fields, positive)
         return found if f.op == "in" else ~found
     if f.op not in LEAVES:
         raise ValidationError(f"unknown predicate {f.op!r}")

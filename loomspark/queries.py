@@ -320,6 +320,7 @@ FILTERS = {
 def _filtered(f: P.Filter):
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = _table(spark, d, "events").select("event_id", F.parse_json(F.expr(_META)).alias("metadata"))
+        rows = written_once(rows, _place(spark, "events"))  # as a collection keeps it: parsed when it comes in, and not again
         return rows.where(compile_filter(f, VariantFields(F.col("metadata")))).select(F.col("event_id").alias("id"))
 
     return run
