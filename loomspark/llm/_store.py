@@ -59,8 +59,8 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return found
 
 
-#: A table of up to so many rows of a few numbers each (some tens of MB) may be sent to every executor.
-BROADCAST_ROWS = 1_000_000
+#: A table of up to so many rows of a few numbers each (some 20 MB) may be sent to every executor.
+BROADCAST_ROWS = 250_000
 
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -139,7 +139,7 @@ class SubstringHash:
 
     def __init__(self, data: np.ndarray, which: int = 0):
         self.n = len(data)
-        size = PIECE_BYTES
+        size = PIECE_BYTES // 2
         while size < self.n:
             size *= 2
         base = self.BASES[which]

@@ -38,7 +38,9 @@ from loomspark.llm.spans import anchor_runs, repeated_columns
 
 LENGTH, GRAM, BLOCK = 200, 32, 32
 #: Different runs of one anchor that are compared in one task, and pieces that a task takes in all.
-GROUP, TASK = 20_000, 50_000
+GROUP, TASK = 2_000, 30_000
+#: Bytes of text that a task hashes at a time, or one longer text.
+PIECE = 1 << 20
 NO_ID = -1 << 63
 ID = "id struct<d: long, t: long>"
 KIND = ["key", "lo", "hi", "span", "span2"]
@@ -56,7 +58,7 @@ def _runs(length: int, gram: int):
 
     def run(batches):
         for batch in batches:
-            for rows, d, off in pieces(batch.column(1)):
+            for rows, d, off in pieces(batch.column(1), PIECE):
                 one, two = SubstringHash(d), SubstringHash(d, 1)
                 doc, lo, hi, p = anchor_runs(d, off, length, gram)
                 zero = p - (width - 1)
@@ -76,7 +78,7 @@ def _with_context(length: int):
         for batch in batches:
             listed = batch.column(2)
             bounds = np.frombuffer(listed.buffers()[1], np.int32)[listed.offset : listed.offset + len(listed) + 1].astype(np.int64)
-            for rows, d, off in pieces(batch.column(1)):
+            for rows, d, off in pieces(batch.column(1), PIECE):
                 mine = slice(int(bounds[rows.start]), int(bounds[rows.stop]))
                 own = listed.values[mine.start : mine.stop]
                 doc = np.repeat(np.arange(len(off) - 1), np.diff(bounds[rows.start : rows.stop + 1]))
@@ -95,7 +97,7 @@ def _blocks(length: int, block: int):
 
     def run(batches):
         for batch in batches:
-            for rows, d, off in pieces(batch.column(6)):
+            for rows, d, off in pieces(batch.column(6), PIECE):
                 one, two = SubstringHash(d), SubstringHash(d, 1)
                 at, first, last = (batch.column(i)[rows].to_numpy().astype(np.int64) for i in (1, 2, 3))
                 n = last // block - first // block + 1
@@ -186,7 +188,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
 
     def solid(rows: DataFrame, again: DataFrame) -> DataFrame:
         """First and last windows of the rows of these kinds, by document."""
-        return store(rows.join(if_small(again, 300_000), KIND).select("id", F.col("at").alias("lo"), (F.col("at") + F.col("hi") - F.col("lo")).alias("hi")), "found")
+        return store(rows.join(if_small(again, 100_000), KIND).select("id", F.col("at").alias("lo"), (F.col("at") + F.col("hi") - F.col("lo")).alias("hi")), "found")
 
     def columns(rows: DataFrame, count: int) -> DataFrame:
         """The repeated windows of these pieces, those of a key in one of as many tasks as their count needs."""
