@@ -27,7 +27,6 @@ from dataclasses import asdict
 from functools import reduce
 from typing import Any
 
-import numpy as np
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +37,7 @@ from loomspark.operators import ann
 from loomspark.operators.maintenance import collection_stats, duplicate_ids, marked, segment_stats
 from loomspark.operators.search import knn, knn_batch
 from loomspark.plans.filters import Filter, VariantFields, compile_filter
-from loomspark.sources.files import Files
+from loomspark.sources.files import Files, shared_folder
 from loomspark.types import (
     FORMAT_VERSION,
     MAX_BATCH,
@@ -111,6 +110,7 @@ class Database:
         self.spark, self.config, self.files = spark, config, Files(spark, path)
         self._token, self._open = uuid.uuid4().hex, False
         self._collections: dict[str, Collection] = {}
+        self._temporary = False
         there = self.files.exists("_manifest")
         if not there and not config.create_if_missing:
             raise NotADatabase(path) if self.files.exists() and self.files.names() else DatabaseNotFound(path)
@@ -129,6 +129,13 @@ class Database:
             self._release()
             raise
 
+    @classmethod
+    def temporary(cls, spark: SparkSession, config: Config = Config()) -> Database:
+        """A database in the shared folder that is gone when it is closed."""
+        found = cls(spark, f"{shared_folder(spark)}/temporary-{uuid.uuid4().hex}", config)
+        found._temporary = True
+        return found
+
     def __enter__(self) -> Database:
         return self
 
@@ -219,10 +226,12 @@ class Database:
         if not self._open:
             return
         try:
-            if not self.config.read_only:
+            if not self.config.read_only and not self._temporary:
                 self.flush()
         finally:
             self._release()
+            if self._temporary:
+                self.files.delete("")
 
     def flush(self) -> None:
         self._writable()
@@ -460,11 +469,11 @@ class Collection:
         rows = self.frame() if rows is None else rows
         return knn(rows, vector, k, metric or self.spec.metric, self._condition(where), min_score, include=include.columns(), inverse="inv_norm")
 
-    def search(self, query: Any, k: int = 10, where: Filter | dict | None = None, metric: str | None = None, min_score: float | None = None, include: Include = Include(), max_scanned: int | None = None, tag: str | None = None, n_probe: int | None = None, exact: bool | None = None) -> SearchResponse:
+    def search(self, query: Any, k: int = 10, where: Filter | dict | None = None, metric: str | None = None, min_score: float | None = None, include: Include = Include(), max_scanned: int | None = None, tag: str | None = None, n_probe: int | None = None, min_candidates: int = 0, exact: bool | None = None) -> SearchResponse:
         """The k best documents. max_scanned refuses a search that would read more rows; tag names it for Database.cancel.
 
-        An approximate search visits n_probe cells, by default as many as the index was calibrated to, and is followed by an
-        exact one if it finds fewer than k. scanned counts the rows read, considered those that the filter lets pass.
+        An approximate search visits n_probe cells, by default as many as the index was calibrated to, and more until they hold
+        min_candidates rows; it is followed by an exact one if it finds fewer than k. scanned counts the rows read, considered those that the filter lets pass.
         """
         check_top_k(k)
         vector = check_vector(query, self.spec.dimension)
@@ -477,8 +486,8 @@ class Collection:
         try:
             found, approximate, scanned, considered = [], False, 0, 0
             ways = [None]
-            if index is not None and (n_probe or index.n_probe) < len(index.centroids):
-                ways.insert(0, [int(c) for c in index.cells(np.asarray([vector], np.float64), n_probe or index.n_probe)[0]])
+            if index is not None and len(cells := index.probed(vector, n_probe, min_candidates)) < len(index.centroids):
+                ways.insert(0, cells)
             for cells in ways:
                 rows = self._with_buffer(self._on_disk(cells=cells))
                 if max_scanned is not None and scanned + (n := rows.count()) > max_scanned:
@@ -517,8 +526,11 @@ class Collection:
             self._index = ann.Index.restored(value, entry["number"]) if fits else None
         return self._index
 
-    def build_index(self, cells: int | None = None) -> ann.Index | None:
-        """Fits an index to the present rows, stores them by its cells, and makes both the state in one commit."""
+    def build_index(self, cells: int | None = None, target: float = ann.TARGET) -> ann.Index | None:
+        """Fits an index to the present rows, stores them by its cells, and makes both the state in one commit.
+
+        target is the share of true neighbours that the cells visited by default are to hold.
+        """
         self.database._writable()
         if self.spec.index != "ann":
             raise InvalidConfig(f"{self.name}: its index is flat")
@@ -529,8 +541,8 @@ class Collection:
             return None
         state, old = self._state, self._state.get("index")
         number, replaced, gone = self._take_number(), list(state["segments"]), list(state["dead"])
-        probing = ann.calibrated(ann.assign(live, fitted), fitted)
-        self._index = ann.Index(fitted.centroids, fitted.metric, probing.n_probe, number)
+        probing = ann.calibrated(ann.assign(live, fitted), fitted, target=target)
+        self._index = ann.Index(fitted.centroids, fitted.metric, probing.n_probe, number, probing.sizes)
         self.files.delete(f"c_{self.name}/index-{number}.json")  # left by a run that ended before its commit
         self.files.create_record(f"c_{self.name}/index-{number}.json", self._index.snapshot())
         n = self._write_segment(live, self._index)
@@ -661,13 +673,20 @@ class Collection:
             rows.write.parquet(self.files.url(name))
         else:
             ann.stored(rows, index, self.files.url(name))
-        n = self.spark.read.schema(row_schema(self.spec)).parquet(self.files.url(name)).count()
+        n, digest = self._digest(number)
         if n:
-            self._state["segments"].append({"number": number, "rows": n} | ({"index": index.number} if index else {}))
+            self._state["segments"].append({"number": number, "rows": n, "digest": digest} | ({"index": index.number} if index else {}))
         else:
             self.files.delete(name)
         return n
 
+    def _digest(self, number: int, **options: str) -> tuple[int, str]:
+        """How many rows a segment has, and a checksum of them, whatever their order."""
+        rows = self.spark.read.schema(row_schema(self.spec)).options(**options).parquet(self.files.url(f"c_{self.name}/seg-{number}"))
+        own = F.xxhash64("id", "vector", F.to_json("metadata"), "content", "seq")
+        found = rows.agg(F.count("*").alias("n"), F.sum(own.cast("decimal(38,0)")).alias("sum")).first()
+        return found["n"], str(found["sum"])
+
     def _write_dead(self, rows: DataFrame) -> None:
         number = self._take_number()
         name = f"c_{self.name}/dead-{number}"
@@ -808,6 +827,9 @@ class Collection:
                     F.sum(F.coalesce(F.octet_length("content"), F.lit(0))).alias("bytes"),
                 ).first()
                 report.errors += [f"{self.name}: {tests[k]} rows with {what}" for k, what in (("no_id", "no id"), ("vector", "an unusable vector"), ("metadata", "unreadable metadata")) if tests[k]]
+                for s in state["segments"]:
+                    if s.get("digest") and self._digest(s["number"], **{verifying: "true"})[1] != s["digest"]:
+                        report.errors.append(f"{self.name}: segment {s['number']} isn't what was written")
             if report.level == "full":
                 report.errors += [f"{self.name}: {r['copies']} live rows of {r['id']!r}" for r in duplicate_ids(rows).limit(20).collect()]
         except Exception as e:  # a report, whatever the damage

@@ -34,12 +34,13 @@ ROWS_AT_ONCE = 8192
 
 @dataclass(frozen=True)
 class Index:
-    """Centroids (cells, d) under a metric, how many cells a search visits, and the number of its snapshot."""
+    """Centroids (cells, d) under a metric, how many cells a search visits, the number of its snapshot, and the rows in each cell."""
 
     centroids: np.ndarray
     metric: str
     n_probe: int = 8
     number: int = 0
+    sizes: tuple[int, ...] = ()
 
     def cells(self, rows: np.ndarray, n: int = 1) -> np.ndarray:
         """The n nearest cells of each row, nearest first; under cosine and dot, rows are compared by direction."""
@@ -55,15 +56,23 @@ class Index:
             out.append(np.take_along_axis(some, order, 1))
         return np.concatenate(out) if out else np.zeros((0, n), np.int64)
 
+    def probed(self, query: Sequence[float], n_probe: int | None = None, min_candidates: int = 0) -> list[int]:
+        """The cells that a search visits: n_probe of them, and as many more as held min_candidates rows when they were counted."""
+        every = self.cells(np.asarray([query], np.float64), len(self.centroids))[0]
+        n = n_probe or self.n_probe
+        if min_candidates and self.sizes:
+            n = max(n, int(np.searchsorted(np.cumsum(np.array(self.sizes)[every]), min_candidates)) + 1)
+        return [int(c) for c in every[:n]]
+
     def snapshot(self) -> dict[str, Any]:
         """The index as a JSON value."""
         data = base64.b64encode(np.ascontiguousarray(self.centroids, "<f8").tobytes()).decode()
-        return {"metric": self.metric, "shape": list(self.centroids.shape), "n_probe": self.n_probe, "centroids": data}
+        return {"metric": self.metric, "shape": list(self.centroids.shape), "n_probe": self.n_probe, "sizes": list(self.sizes), "centroids": data}
 
     @staticmethod
     def restored(value: dict[str, Any], number: int = 0) -> Index:
         data = np.frombuffer(base64.b64decode(value["centroids"]), "<f8").reshape(value["shape"])
-        return Index(data, value["metric"], value["n_probe"], number)
+        return Index(data, value["metric"], value["n_probe"], number, tuple(value["sizes"]))
 
 
 def _share(id: str, salt: str) -> Column:
@@ -123,17 +132,18 @@ def calibrated(assigned: DataFrame, index: Index, k: int = 10, target: float = T
 
     The sample is bounded by ``queries``; its neighbours are searched exactly among all rows.
     """
-    total = assigned.count()
+    held = dict(assigned.groupBy("cell").count().collect())  # a row for each cell
+    sizes, total = tuple(held.get(c, 0) for c in range(len(index.centroids))), sum(held.values())
     sample = assigned.where(_share(id, "calibration") < min(1.0, 2.0 * queries / max(total, 1))).orderBy(F.xxhash64(F.col(id))).limit(queries)
     rows = {r["query_id"]: r["query"] for r in sample.select(F.col(id).alias("query_id"), F.col(vector).alias("query")).collect()}
     if not rows or len(index.centroids) < 2:
-        return Index(index.centroids, index.metric, max(1, len(index.centroids)), index.number)
+        return Index(index.centroids, index.metric, max(1, len(index.centroids)), index.number, sizes)
     stated = assigned.sparkSession.createDataFrame(list(rows.items()), f"query_id {assigned.schema[id].dataType.simpleString()}, query array<double>")
     near = knn_batch(assigned, stated, k, index.metric, id=id, vector=vector, query_vector="query").select("query_id", "id")
     found = near.join(assigned.select(F.col(id).alias("id"), "cell"), "id").select("query_id", "cell").collect()  # queries * k rows
     place = {q: np.argsort(index.cells(np.asarray([v], np.float64), len(index.centroids))[0]) for q, v in rows.items()}
     places = np.sort([place[r["query_id"]][r["cell"]] for r in found])
-    return Index(index.centroids, index.metric, int(places[min(len(places) - 1, int(np.ceil(target * len(places))))]) + 1, index.number)
+    return Index(index.centroids, index.metric, int(places[min(len(places) - 1, int(np.ceil(target * len(places))))]) + 1, index.number, sizes)
 
 
 def ann_knn(assigned: DataFrame, index: Index, query: Sequence[float], k: int, n_probe: int | None = None, where: Column | None = None, min_score: float | None = None, id: str = "id", vector: str = "vector", include: Sequence[str] = ()) -> DataFrame:
@@ -141,8 +151,7 @@ def ann_knn(assigned: DataFrame, index: Index, query: Sequence[float], k: int, n
     check_top_k(k)
     n_probe = n_probe or index.n_probe
     if n_probe < len(index.centroids):
-        probed = [int(c) for c in index.cells(np.asarray([query], np.float64), n_probe)[0]]
-        found = knn(assigned.where(F.col("cell").isin(probed)), query, k, index.metric, where, min_score, id, vector, include)
+        found = knn(assigned.where(F.col("cell").isin(index.probed(query, n_probe))), query, k, index.metric, where, min_score, id, vector, include)
         rows = found.collect()
         if len(rows) == k:
             return assigned.sparkSession.createDataFrame(rows, found.schema)

@@ -271,6 +271,22 @@ def test_index_snapshot_survives_reopening_and_takes_in_new_rows(spark, path, tm
         assert own.compact(0.9)["created"] == 1 and own.stats()["indexed"] == 9000  # grown by more than REFIT
 
 
+def test_a_temporary_database_and_segments_that_were_exchanged(spark, path, tmp_path):
+    with Database.temporary(spark) as db:
+        assert len(compass(db)) == 4
+        where = db.files
+    assert not where.exists()
+    with Database(spark, path) as db:
+        own = compass(db)
+        own.flush()
+        assert db.verify("checksums").is_clean
+        other = own._segment_rows().withColumn("vector", F.transform("vector", lambda x: (x + 1).cast("float")))
+        rows = other.collect()
+        db.files.delete("c_c/seg-1")
+        spark.createDataFrame(rows, other.schema).write.parquet(db.files.url("c_c/seg-1"))
+        assert db.verify("quick").is_clean and "isn't what was written" in str(db.verify("checksums").errors)
+
+
 def test_a_budget_counts_the_rows_read(spark, path):
     with Database(spark, path) as db:
         own = db.create_collection("a", 8, index="ann")
@@ -278,6 +294,7 @@ def test_a_budget_counts_the_rows_read(spark, path):
         query = own.get("5").vector
         needed = own.search(query, 5).stats.scanned
         assert needed < 3000 and own.search(query, 5, max_scanned=needed).hits
+        assert needed < own.search(query, 5, min_candidates=2500).stats.scanned >= 2500
         with pytest.raises(Cancelled):
             own.search(query, 5, max_scanned=needed - 1)
         with pytest.raises(Cancelled):
