@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-@lru_cache(1)
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="loomspark-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only a local session may leave it unset, and gets a folder of its own."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (named or _own_folder()).rstrip("/")
+from loomspark.sources.files import shared_folder
 
 
 def _file(spark: SparkSession, path: str):
