@@ -3,6 +3,11 @@
 The stages reject documents that fail the quality rules, keep one document of each near-duplicate group, reject documents
 that hold a passage of the benchmark, generalise personal data, and pack what is left into token sequences. The text
 measures of a stage are those of its input, so a later stage judges what an earlier one has changed.
+
+Edge cases: rows without a text fail the quality rules; of rows repeated in whole one stays; null ids and sources are kept
+like any other value; a very long text goes through every stage in whole and is cut into pieces by the last; of equal
+documents the one of least id stays; extra columns are carried to the last stage, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
