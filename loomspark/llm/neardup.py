@@ -14,8 +14,8 @@ proportion to its size:
    is a metric, so whatever is linked to a member that is closer by one link's distance (a settled member) lies in the
    group too. Members not settled get a second pivot. A member that has met a pivot of its node but not the one that
    settles its neighbours meets that one as well, so that one group, and not many, holds the near copies of a text.
-2. *Differences.* Members of a group are told from the pivot by the tokens that only one of them has, and two linked ones
-   share many of these. In one order of a group's tokens, rare ones first, the first few differences of both must have one
+2. *Differences.* Members of a group are told from its centre (the pivot, or in large groups the tokens that most members
+   have) by the tokens that only one of them has, and two linked ones share many of these. In one order of a group's tokens, rare ones first, the first few differences of both must have one
    in common: an index on them finds every linked pair of members that the stars left in different components, and few
    others. Members that share a token first meet one of them, and the pairs still apart after that meet each other.
 3. *Small nodes.* Members that no pivot settles are compared exhaustively within their node, by a sketch of 256 minwise
@@ -47,6 +47,8 @@ COORDINATES, SKETCH = 24, 256
 BRANCHES, DEPTH, SMALL = 2, 2, 64
 #: A pair at the threshold may be missed once in so many.
 MISSED = 500_000
+#: Members whose tokens tell the centre of a group of twice as many or more.
+CENTRE = 32
 #: Similarity to the pivot from which a member belongs to its group.
 WIDE = 0.3
 ROUNDS = 2
@@ -161,24 +163,37 @@ def _passes(similarity: float):
     return (bits <= _at_most(similarity)) & (F.least(a("n"), b("n")) >= F.greatest(a("n"), b("n")) * F.lit(similarity - 1e-9))
 
 
-def difference_places(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """An index of the differences of a group's members from their pivot: the columns of group, size, token, place.
+def centres(group: DataFrame, sets: DataFrame) -> DataFrame:
+    """pivot and its group's centre: the tokens that most of some ``CENTRE`` members have, of groups of twice as many at least.
+
+    A centre stands in for the pivot's set where members are told from it; whichever set does, the pairs found are the same.
+    """
+    own = group.where(F.col("members") >= 2 * CENTRE).where(F.pmod(F.xxhash64("pivot", "id"), F.lit(1 << 30)) * F.col("members") < CENTRE << 30)
+    tokens = own.select("pivot", "id").join(sets, "id").select("pivot", F.explode("items").alias("token")).groupBy("pivot", "token").agg(F.count("*").alias("held"))
+    drawn = own.groupBy("pivot").agg(F.count("*").alias("drawn"))
+    return tokens.join(drawn, "pivot").where("2 * held > drawn").groupBy("pivot").agg(F.collect_list("token").alias("centre"))
+
+
+def difference_places(group: DataFrame, centre: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """An index of the differences of a group's members from its centre, or where it has none from its pivot.
 
     A group has the columns pivot, id, n, n_pivot, apart (not connected with the pivot), root. Of x, size d(x) is counted;
     two members x, y, one of them apart, are linked only if d(x) and d(y) share ``needed`` tokens, so in one order of the
-    tokens (what the pivot lacks first, rare ones before others) the first d - needed + 1 of both have one in common.
-    Only tokens at places that some partner can ask for are listed, and none that no other member lists.
+    tokens (what the centre lacks first, rare ones before others) the first d - needed + 1 of both have one in common.
+    Only tokens at places that some partner can ask for are listed.
     """
-    own, other = sets.select("id", F.col("items").alias("x")), sets.select(F.col("id").alias("pivot"), F.col("items").alias("p"))
+    own, other = sets.select("id", F.col("items").alias("x")), sets.select(F.col("id").alias("pivot"), F.col("items").alias("q"))
     member = ["pivot", "id", "n", "root", "apart"]
-    rows = group.join(own, "id").join(other, "pivot")
-    rows = rows.select(*member, "n_pivot", F.array_except("x", "p").alias("more"), F.array_except("p", "x").alias("less"))
+    rows = group.join(own, "id").join(other.join(centre, "pivot", "left"), "pivot").withColumn("p", F.coalesce("centre", "q"))
+    drift = F.when(F.col("centre").isNull(), 0).otherwise(F.size(F.array_except("p", "q")) + F.size(F.array_except("q", "p")))
+    rows = rows.select(*member, "n_pivot", drift.alias("drift"), F.array_except("x", "p").alias("more"), F.array_except("p", "x").alias("less"))
     rows = rows.withColumn("size", F.size("more") + F.size("less"))
     far, near = 100 + percent, 100 - percent
+    # A partner that is apart isn't linked with the pivot, and so as far from the centre at least, but for the drift.
     least = F.greatest(
         F.lit(1),
         F.col("size") - F.floor(F.col("n") * near / percent + 1e-9),
-        F.when(F.col("apart"), 1).otherwise(F.floor((F.col("size") - F.greatest(F.lit(0), F.col("n") - F.col("n_pivot")) * near / far) / 2 - 1e-9)),
+        F.when(F.col("apart"), 1).otherwise(F.floor((F.col("size") - F.col("drift") - F.greatest(F.lit(0), F.col("n") - F.col("n_pivot")) * near / far) / 2 - 1e-9)),
     )
     rows = rows.withColumn("last", F.col("size") - least + 1).where(F.col("last") >= 1)
     # What the member lacks stands after what it has besides, and is listed only as far as places go.
@@ -213,13 +228,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     settling = WIDE + (1 - limit)  # whatever is linked to a member this similar to a pivot is in the pivot's group
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     pair = [F.least(a("id"), b("id")).alias("u"), F.greatest(a("id"), b("id")).alias("v")]
-    sets: list[DataFrame] = []
+    sets: list[DataFrame] = [docs.sparkSession.createDataFrame([], "id long, items array<long>")]
 
     def counted(pairs: DataFrame) -> DataFrame:
         """Pairs u, v with the sizes of their sets and of what they share, as a written table; adds to sets what they lack."""
         pairs = tables.written(pairs, "pairs")
+        if not pairs.take(1):
+            return pairs.selectExpr("u", "v", "1 as nu", "1 as nv", "0 as shared")
         wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-        for known_sets in sets:
+        for known_sets in sets[1:]:
             wanted = wanted.join(known_sets.select("id"), "id", "left_anti")
         texts = keyed.select(place, "text_key", "text").join(wanted.join(classes.select("id", "place", "text_key"), "id"), ["place", "text_key"]).select("id", "text").dropDuplicates(["id"])
         sets.append(tables.written(texts.mapInArrow(_sets(words), "id long, items array<long>"), "sets"))
@@ -232,10 +249,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = roots = None
 
     def merged(found: DataFrame) -> None:
-        """Adds the links among these pairs to what is connected."""
+        """Adds the links among these pairs to what is connected: only the least members of what they join are dealt with."""
         nonlocal links, roots
-        found = found.where(linked).select("u", "v")
-        links = tables.written(components(found if links is None else links.unionByName(found), tables).select("u", "v"), "links")
+        new = found.where(linked).select("u", "v")
+        if links is None:
+            links = components(new, tables)
+        else:
+            end = lambda c: F.coalesce(F.col(f"of_{c}"), F.col(c)).alias(c)
+            both = new.join(links.toDF("u", "of_u"), "u", "left").join(links.toDF("v", "of_v"), "v", "left").select(end("u"), end("v"))
+            both = tables.written(both.where("u <> v").distinct(), "between")
+            if not both.take(1):
+                return
+            moved = components(both, tables)
+            links = links.join(moved.toDF("v", "to"), "v", "left").select("u", F.coalesce("to", "v").alias("v")).unionByName(moved)
+        links = tables.written(links.select("u", "v"), "links")
         roots = links.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
     def labelled(rows: DataFrame) -> DataFrame:
@@ -274,23 +301,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     known = tables.written(known.unionByName(counted(strays)), "known")
     merged(known)
 
-    # 2. Differences. A pair of members that one pivot of higher rank settles is found in that pivot's group.
+    # 2. Differences. Each pair is compared in one group, if there is one whose pivot settles either member.
     group = tables.written(labelled(in_groups()), "in-groups").join(roots.select(F.col("id").alias("pivot"), F.col("root").alias("head")), "pivot", "left")
     group = tables.written(group.withColumn("apart", F.col("root") != F.coalesce("head", "pivot")).drop("head").join(chief().select("id", (-F.col("top.order")).alias("chief")), "id", "left"), "groups")
-    active = group.groupBy("pivot").agg(F.max("apart").alias("any"), F.min("chief").alias("lo"), F.max("chief").alias("hi"), F.max(F.col("chief").isNull()).alias("free"))
-    active = tables.written(active.where("any and (free or lo <> hi or lo = pivot)").select("pivot"), "active")
+    active = group.groupBy("pivot").agg(F.count("*").alias("members"), F.max("apart").alias("any"), F.min("chief").alias("lo"), F.max("chief").alias("hi"), F.max(F.col("chief").isNull()).alias("free"))
+    active = tables.written(active.where("any and (free or lo <> hi or lo = pivot)").select("pivot", "members"), "active")
     group = tables.written(group.join(active, "pivot"), "active-groups")
-    index = tables.written(difference_places(group, reduce(DataFrame.unionByName, sets), percent), "differences")
-    index = tables.written(placed_differences(index, tables).join(group.select("pivot", "id", "chief"), ["pivot", "id"]), "difference-places")
+    centre = tables.written(centres(group, reduce(DataFrame.unionByName, sets)), "centres")
+    index = tables.written(difference_places(group, centre, reduce(DataFrame.unionByName, sets), percent), "differences")
+    # Groups of a member whose pivot is some member's chief: where a pair has such a group in common, it is compared there.
+    homes = group.join(group.select(F.col("chief").alias("pivot")).distinct(), "pivot").groupBy("id").agg(F.collect_set("pivot").alias("homes"))
+    about = tables.written(group.select("id", "chief").distinct().join(homes, "id", "left"), "homes")
+    index = tables.written(placed_differences(index, tables).join(about, "id"), "difference-places")
     most = F.floor((a("n") + b("n")) * F.lit(100 - percent) / F.lit(100 + percent) + 1e-9)
     needed = F.greatest(F.lit(1), F.ceil((a("size") + b("size") - most) / 2))
     fits = (a("place") <= a("size") - needed + 1) & (b("place") <= b("size") - needed + 1)
-    elsewhere = F.coalesce((a("chief") == b("chief")) & (a("chief") != a("pivot")), F.lit(False))
+    shared_home = F.greatest(F.when(F.array_contains(a("homes"), b("chief")), b("chief")), F.when(F.array_contains(b("homes"), a("chief")), a("chief")))
+    here = F.coalesce(shared_home, a("pivot")) == a("pivot")
 
     def sharing(rows: DataFrame, partners: DataFrame) -> DataFrame:
         """Pairs of members of different components that share a token at places where linked ones do."""
         same = (a("pivot") == b("pivot")) & (a("token") == b("token")) & (a("root") != b("root"))
-        found = rows.alias("a").join(partners.alias("b"), same & fits & ~elsewhere).select(*pair).distinct()
+        found = rows.alias("a").join(partners.alias("b"), same & fits & here).select(*pair).distinct()
         return found.join(known.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), ["u", "v"], "left_anti")
 
     for first in (True, False):
