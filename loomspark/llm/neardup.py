@@ -14,8 +14,8 @@ proportion to its size:
    is a metric, so whatever is linked to a member that is closer by one link's distance (a settled member) lies in the
    group too. Members not settled get a second pivot. A member that has met a pivot of its node but not the one that
    settles its neighbours meets that one as well, so that one group, and not many, holds the near copies of a text.
-2. *Differences.* Members of a group are told from its centre (the pivot, or in large groups the tokens that most members
-   have) by the tokens that only one of them has, and two linked ones share many of these. In one order of a group's tokens, rare ones first, the first few differences of both must have one
+2. *Differences.* Members of a group are told from its pivot, or in large groups from a member near the centre that has met
+   all others, by the tokens that only one of them has, and two linked ones share many of these. In one order of a group's tokens, rare ones first, the first few differences of both must have one
    in common: an index on them finds every linked pair of members that the stars left in different components, and few
    others. Members that share a token first meet one of them, and the pairs still apart after that meet each other.
 3. *Small nodes.* Members that no pivot settles are compared exhaustively within their node, by a sketch of 256 minwise
@@ -47,7 +47,7 @@ COORDINATES, SKETCH = 24, 256
 BRANCHES, DEPTH, SMALL = 2, 2, 64
 #: A pair at the threshold may be missed once in so many.
 MISSED = 500_000
-#: Members whose tokens tell the centre of a group of twice as many or more.
+#: Members whose tokens tell where the centre of a group of twice as many or more is.
 CENTRE = 32
 #: Similarity to the pivot from which a member belongs to its group.
 WIDE = 0.3
@@ -163,37 +163,38 @@ def _passes(similarity: float):
     return (bits <= _at_most(similarity)) & (F.least(a("n"), b("n")) >= F.greatest(a("n"), b("n")) * F.lit(similarity - 1e-9))
 
 
-def centres(group: DataFrame, sets: DataFrame) -> DataFrame:
-    """pivot and its group's centre: the tokens that most of some ``CENTRE`` members have, of groups of twice as many at least.
+def central_members(group: DataFrame, sets: DataFrame) -> DataFrame:
+    """pivot and ref, the member nearest to the group's centre, of groups of at least twice ``CENTRE`` members.
 
-    A centre stands in for the pivot's set where members are told from it; whichever set does, the pairs found are the same.
+    The centre is made of the tokens that most of some CENTRE members have. Whichever member is ref, the same links are found;
+    one near the centre leaves fewer differences to look at.
     """
-    own = group.where(F.col("members") >= 2 * CENTRE).where(F.pmod(F.xxhash64("pivot", "id"), F.lit(1 << 30)) * F.col("members") < CENTRE << 30)
-    tokens = own.select("pivot", "id").join(sets, "id").select("pivot", F.explode("items").alias("token")).groupBy("pivot", "token").agg(F.count("*").alias("held"))
-    drawn = own.groupBy("pivot").agg(F.count("*").alias("drawn"))
-    return tokens.join(drawn, "pivot").where("2 * held > drawn").groupBy("pivot").agg(F.collect_list("token").alias("centre"))
+    large = group.where(F.col("members") >= 2 * CENTRE).select("pivot", "id", "members")
+    some = large.where(F.pmod(F.xxhash64("pivot", "id"), F.lit(1 << 30)) * F.col("members") < CENTRE << 30)
+    tokens = some.join(sets, "id").select("pivot", F.explode("items").alias("token")).groupBy("pivot", "token").agg(F.count("*").alias("held"))
+    centre = tokens.join(some.groupBy("pivot").agg(F.count("*").alias("drawn")), "pivot").where("2 * held > drawn").groupBy("pivot").agg(F.collect_list("token").alias("centre"))
+    off = F.size(F.array_except("items", "centre")) + F.size(F.array_except("centre", "items"))
+    return large.join(sets, "id").join(centre, "pivot").groupBy("pivot").agg(F.min(F.struct(off.alias("off"), "id")).alias("m")).select("pivot", F.col("m.id").alias("ref"))
 
 
-def difference_places(group: DataFrame, centre: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """An index of the differences of a group's members from its centre, or where it has none from its pivot.
+def difference_places(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """An index of the differences of a group's members from a member ref: the columns of group, size, token, kind and more.
 
-    A group has the columns pivot, id, n, n_pivot, apart (not connected with the pivot), root. Of x, size d(x) is counted;
-    two members x, y, one of them apart, are linked only if d(x) and d(y) share ``needed`` tokens, so in one order of the
-    tokens (what the centre lacks first, rare ones before others) the first d - needed + 1 of both have one in common.
-    Only tokens at places that some partner can ask for are listed.
+    A group has the columns pivot, ref, id, n, n_ref, apart (not connected with ref), root. Of x, size d(x) is counted; two
+    members x, y, one of them apart, are linked only if d(x) and d(y) share ``needed`` tokens, so in one order of the tokens
+    (what ref lacks first, rare ones before others) the first d - needed + 1 of both have one in common. Only tokens at
+    places that some partner can ask for are listed.
     """
-    own, other = sets.select("id", F.col("items").alias("x")), sets.select(F.col("id").alias("pivot"), F.col("items").alias("q"))
+    own, other = sets.select("id", F.col("items").alias("x")), sets.select(F.col("id").alias("ref"), F.col("items").alias("p"))
     member = ["pivot", "id", "n", "root", "apart"]
-    rows = group.join(own, "id").join(other.join(centre, "pivot", "left"), "pivot").withColumn("p", F.coalesce("centre", "q"))
-    drift = F.when(F.col("centre").isNull(), 0).otherwise(F.size(F.array_except("p", "q")) + F.size(F.array_except("q", "p")))
-    rows = rows.select(*member, "n_pivot", drift.alias("drift"), F.array_except("x", "p").alias("more"), F.array_except("p", "x").alias("less"))
+    rows = group.join(own, "id").join(other, "ref")
+    rows = rows.select(*member, "n_ref", F.array_except("x", "p").alias("more"), F.array_except("p", "x").alias("less"))
     rows = rows.withColumn("size", F.size("more") + F.size("less"))
     far, near = 100 + percent, 100 - percent
-    # A partner that is apart isn't linked with the pivot, and so as far from the centre at least, but for the drift.
     least = F.greatest(
         F.lit(1),
         F.col("size") - F.floor(F.col("n") * near / percent + 1e-9),
-        F.when(F.col("apart"), 1).otherwise(F.floor((F.col("size") - F.col("drift") - F.greatest(F.lit(0), F.col("n") - F.col("n_pivot")) * near / far) / 2 - 1e-9)),
+        F.when(F.col("apart"), 1).otherwise(F.floor((F.col("size") - F.greatest(F.lit(0), F.col("n") - F.col("n_ref")) * near / far) / 2 - 1e-9)),
     )
     rows = rows.withColumn("last", F.col("size") - least + 1).where(F.col("last") >= 1)
     # What the member lacks stands after what it has besides, and is listed only as far as places go.
@@ -307,8 +308,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     active = group.groupBy("pivot").agg(F.count("*").alias("members"), F.max("apart").alias("any"), F.min("chief").alias("lo"), F.max("chief").alias("hi"), F.max(F.col("chief").isNull()).alias("free"))
     active = tables.written(active.where("any and (free or lo <> hi or lo = pivot)").select("pivot", "members"), "active")
     group = tables.written(group.join(active, "pivot"), "active-groups")
-    centre = tables.written(centres(group, reduce(DataFrame.unionByName, sets)), "centres")
-    index = tables.written(difference_places(group, centre, reduce(DataFrame.unionByName, sets), percent), "differences")
+    # Large groups are told from a member near their centre, which meets all others first.
+    central = tables.written(central_members(group, reduce(DataFrame.unionByName, sets)), "central")
+    group = tables.written(group.join(central, "pivot", "left").withColumn("ref", F.coalesce("ref", "pivot")).where("id <> ref").drop("root", "apart", "n_pivot"), "referred")
+    met = group.where("ref <> pivot").select(F.col("ref").alias("u"), F.col("id").alias("v")).distinct()
+    found = counted(met.join(known.select("u", "v"), ["u", "v"], "left_anti"))
+    known = known.unionByName(found)
+    merged(found)
+    referred = tables.written(group.select("ref").distinct().join(classes.select(F.col("id").alias("ref"), F.col("n").alias("n_ref")), "ref").join(roots.select(F.col("id").alias("ref"), F.col("root").alias("head")), "ref", "left"), "references")
+    group = tables.written(labelled(group).join(referred, "ref").withColumn("apart", F.col("root") != F.coalesce("head", "ref")), "related")
+    index = tables.written(difference_places(group, reduce(DataFrame.unionByName, sets), percent), "differences")
     # Groups of a member whose pivot is some member's chief: where a pair has such a group in common, it is compared there.
     homes = group.join(group.select(F.col("chief").alias("pivot")).distinct(), "pivot").groupBy("id").agg(F.collect_set("pivot").alias("homes"))
     about = tables.written(group.select("id", "chief").distinct().join(homes, "id", "left"), "homes")
