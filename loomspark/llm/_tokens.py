@@ -17,7 +17,7 @@ import pyarrow as pa
 from loomspark.llm._text import PIECE_BYTES, pieces
 
 #: Distinct chunks kept by a worker; beyond it, the memory starts anew. It bounds memory and never changes a result.
-REMEMBERED = 700_000
+REMEMBERED = 1_300_000
 
 _B = np.arange(256)
 _VISIBLE = (_B > 0x20) & (_B < 0x7F)
