@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from loomspark.functions.variant import from_variant, to_variant
 from loomspark.functions.vectors import inverse_norm, valid_vector
 from loomspark.operators import ann
+from loomspark.operators.index import Flat, VectorIndex
 from loomspark.operators.maintenance import collection_stats, duplicate_ids, marked, segment_stats
 from loomspark.operators.search import knn, knn_batch
 from loomspark.plans.filters import Filter, VariantFields, compile_filter
@@ -480,15 +481,13 @@ class Collection:
         if metric is not None and metric not in METRICS:
             raise InvalidConfig(f"metric {metric!r}: one of {METRICS}")
         condition = self._condition(where)
-        index = self.index() if self.spec.index == "ann" and not exact and metric in (None, self.spec.metric) else None
+        own = self.index() if self.spec.index == "ann" and not exact and metric in (None, self.spec.metric) else None
+        index: VectorIndex = own or Flat()
         if tag:
             self.spark.addTag(tag)
         try:
             found, approximate, scanned, considered = [], False, 0, 0
-            ways = [None]
-            if index is not None and len(cells := index.probed(vector, n_probe, min_candidates)) < len(index.centroids):
-                ways.insert(0, cells)
-            for cells in ways:
+            for cells in index.ways(vector, n_probe, min_candidates):
                 rows = self._with_buffer(self._on_disk(cells=cells))
                 if max_scanned is not None and scanned + (n := rows.count()) > max_scanned:
                     raise Cancelled(f"{scanned + n} rows; at most {max_scanned} may be scanned")
@@ -503,7 +502,7 @@ class Collection:
             if tag:
                 self.spark.removeTag(tag)
         hits = [Hit(r["id"], r["score"], r["distance"], self._returned(r, include)) for r in found]
-        return SearchResponse(hits, SearchStats("flat" if index is None else "ann", not approximate, considered, scanned, scanned - considered))
+        return SearchResponse(hits, SearchStats(index.kind, not approximate, considered, scanned, scanned - considered))
 
     def search_batch(self, queries: DataFrame, k: int = 10, where: Filter | dict | None = None, metric: str | None = None, min_score: float | None = None) -> DataFrame:
         """query_id, id, score, distance, rank for each row (query_id, vector) of queries."""
@@ -758,6 +757,7 @@ class Collection:
             "buffer_bytes": self._buffer_bytes,
             "dead_ratio": found["dead_ratio"],
             "indexed": sum(s["rows"] for s in self._state["segments"] if s.get("index") and s["index"] == (self._state.get("index") or {}).get("number")),
+            "index_stats": (self._restored() or Flat()).stats(),
             **asdict(self.spec),
         }
 

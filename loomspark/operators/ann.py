@@ -41,6 +41,8 @@ class Index:
     n_probe: int = 8
     number: int = 0
     sizes: tuple[int, ...] = ()
+    kind = "ann"
+    is_exact = False
 
     def cells(self, rows: np.ndarray, n: int = 1) -> np.ndarray:
         """The n nearest cells of each row, nearest first; under cosine and dot, rows are compared by direction."""
@@ -64,6 +66,14 @@ class Index:
             n = max(n, int(np.searchsorted(np.cumsum(np.array(self.sizes)[every]), min_candidates)) + 1)
         return [int(c) for c in every[:n]]
 
+    def ways(self, query: Sequence[float], n_probe: int | None = None, min_candidates: int = 0) -> list[list[int] | None]:
+        """The cells that a search visits, where those aren't all, and then everything."""
+        cells = self.probed(query, n_probe, min_candidates)
+        return [cells, None] if len(cells) < len(self.centroids) else [None]
+
+    def stats(self) -> dict[str, Any]:
+        return {"kind": self.kind, "number": self.number, "cells": len(self.centroids), "n_probe": self.n_probe, "largest_cell": max(self.sizes, default=0)}
+
     def snapshot(self) -> dict[str, Any]:
         """The index as a JSON value."""
         data = base64.b64encode(np.ascontiguousarray(self.centroids, "<f8").tobytes()).decode()

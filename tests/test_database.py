@@ -248,6 +248,7 @@ def test_index_snapshot_survives_reopening_and_takes_in_new_rows(spark, path, tm
         own.upsert_frame(ring(spark, 2000).where("cast(id as int) >= 1500"))
         query = own.get("1700").vector
         assert own.stats()["indexed"] == 2000 and own.stats()["segments"] == 2
+        assert own.stats()["index_stats"] == {"kind": "ann", "number": number, "cells": 39, "n_probe": probes, "largest_cell": max(own.index().sizes)} and sum(own.index().sizes) == 1500
         found = own.search(query, 5)
         assert found.hits[0].id == "1700" and not found.stats.exact and found.stats.scanned < 2000
         plan = own._on_disk(cells=[3])._jdf.queryExecution().toString()
