@@ -177,7 +177,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     long = keyed.where(F.octet_length("text") >= length).select("id", "text")
     runs = store(long.mapInArrow(_runs(length, gram), RUN), "runs")
     twice = store(runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    shared = store(runs.join(if_small(twice), "key"), "shared-runs")
+    shared = store(runs.join(if_small(twice, 1_000_000), "key"), "shared-runs")
     tables.drop(runs, twice)
 
     def kinds(rows: DataFrame, is_open) -> tuple[DataFrame, DataFrame, DataFrame]:
