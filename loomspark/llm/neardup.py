@@ -163,7 +163,7 @@ def _passes(similarity: float):
     return (bits <= _at_most(similarity)) & (F.least(a("n"), b("n")) >= F.greatest(a("n"), b("n")) * F.lit(similarity - 1e-9))
 
 
-def central_members(group: DataFrame, sets: DataFrame) -> DataFrame:
+def central_members(group: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
     """pivot and ref, the member nearest to the group's centre, of groups of at least twice ``CENTRE`` members.
 
     The centre is made of the tokens that most of some CENTRE members have. Whichever member is ref, the same links are found;
@@ -174,7 +174,8 @@ def central_members(group: DataFrame, sets: DataFrame) -> DataFrame:
     tokens = some.join(sets, "id").select("pivot", F.explode("items").alias("token")).groupBy("pivot", "token").agg(F.count("*").alias("held"))
     centre = tokens.join(some.groupBy("pivot").agg(F.count("*").alias("drawn")), "pivot").where("2 * held > drawn").groupBy("pivot").agg(F.collect_list("token").alias("centre"))
     off = F.size(F.array_except("items", "centre")) + F.size(F.array_except("centre", "items"))
-    return large.join(sets, "id").join(centre, "pivot").groupBy("pivot").agg(F.min(F.struct(off.alias("off"), "id")).alias("m")).select("pivot", F.col("m.id").alias("ref"))
+    apart = large.join(sets, "id").join(tables.written(centre, "centres"), "pivot").select("pivot", off.alias("off"), "id")
+    return tables.written(apart, "off-centre").groupBy("pivot").agg(F.min(F.struct("off", "id")).alias("m")).select("pivot", F.col("m.id").alias("ref"))
 
 
 def difference_places(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -309,7 +310,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     active = tables.written(active.where("any and (free or lo <> hi or lo = pivot)").select("pivot", "members"), "active")
     group = tables.written(group.join(active, "pivot"), "active-groups")
     # Large groups are told from a member near their centre, which meets all others first.
-    central = tables.written(central_members(group, reduce(DataFrame.unionByName, sets)), "central")
+    central = tables.written(central_members(group, reduce(DataFrame.unionByName, sets), tables), "central")
     group = tables.written(group.join(central, "pivot", "left").withColumn("ref", F.coalesce("ref", "pivot")).where("id <> ref").drop("root", "apart", "n_pivot"), "referred")
     met = group.where("ref <> pivot").select(F.col("ref").alias("u"), F.col("id").alias("v")).distinct()
     found = counted(met.join(known.select("u", "v"), ["u", "v"], "left_anti"))
