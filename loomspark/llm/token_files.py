@@ -23,6 +23,8 @@ from loomspark.llm._store import fresh_path, written
 from loomspark.llm._tokens import default_tokenizer, encoded
 
 END_ID = 2
+#: Rows of one id that one task may write.
+SHARED = 10_000
 FILE_SCHEMA = "file int, doc_id long, before long, ids array<int>"
 
 
@@ -48,8 +50,9 @@ def _encode(tokenizer: str, end_id: int):
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Writes the ids of (doc_id, text) to path."""
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # An id that many rows share is split by how their texts begin.
-    ordered = ordered.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    # Where many rows share an id, they are split by how their texts begin.
+    shared = ordered.groupBy("doc_id").count().where(F.col("count") > SHARED).take(1)
+    ordered = ordered.repartitionByRange("doc_id", *([F.substring("text", 1, 64)] if shared else [])).sortWithinPartitions("doc_id", "text")
     (
         ordered.mapInArrow(_encode(tokenizer or default_tokenizer(), end_id), FILE_SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
