@@ -230,21 +230,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     settling = WIDE + (1 - limit)  # whatever is linked to a member this similar to a pivot is in the pivot's group
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     pair = [F.least(a("id"), b("id")).alias("u"), F.greatest(a("id"), b("id")).alias("v")]
-    sets: list[DataFrame] = [docs.sparkSession.createDataFrame([], "id long, items array<long>")]
+    empty = lambda shape, name: tables.written(docs.sparkSession.createDataFrame([], shape), name)
+    sets = empty("id long, items array<long>", "sets")
+    known = empty("u long, v long, nu int, nv int, shared int", "known")
 
     def counted(pairs: DataFrame) -> DataFrame:
-        """Pairs u, v with the sizes of their sets and of what they share, as a written table; adds to sets what they lack."""
+        """Pairs u, v with the sizes of their sets and of what they share, as a written table; adds them to known, and to sets what these lack."""
+        nonlocal sets, known
         pairs = tables.written(pairs, "pairs")
         if not pairs.take(1):
-            return pairs.selectExpr("u", "v", "1 as nu", "1 as nv", "0 as shared")
-        wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-        for known_sets in sets[1:]:
-            wanted = wanted.join(known_sets.select("id"), "id", "left_anti")
+            return known.limit(0)
+        wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct().join(sets.select("id"), "id", "left_anti")
         texts = keyed.select(place, "text_key", "text").join(wanted.join(classes.select("id", "place", "text_key"), "id"), ["place", "text_key"]).select("id", "text").dropDuplicates(["id"])
-        sets.append(tables.written(texts.mapInArrow(_sets(words), "id long, items array<long>"), "sets"))
-        every = reduce(DataFrame.unionByName, sets)
-        both = pairs.join(every.select(F.col("id").alias("u"), F.col("items").alias("x")), "u").join(every.select(F.col("id").alias("v"), F.col("items").alias("y")), "v")
-        return tables.written(both.select("u", "v", F.size("x").alias("nu"), F.size("y").alias("nv"), F.size(F.array_intersect("x", "y")).alias("shared")), "counted")
+        sets = tables.grown(sets, texts.mapInArrow(_sets(words), "id long, items array<long>"))
+        both = pairs.join(sets.select(F.col("id").alias("u"), F.col("items").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("items").alias("y")), "v")
+        found = tables.written(both.select("u", "v", F.size("x").alias("nu"), F.size("y").alias("nv"), F.size(F.array_intersect("x", "y")).alias("shared")), "counted")
+        known = tables.grown(known, found)
+        return found
 
     linked = F.col("shared") * 100 >= (F.col("nu") + F.col("nv") - F.col("shared")) * percent
     similarity = F.col("shared") / (F.col("nu") + F.col("nv") - F.col("shared"))
@@ -271,14 +273,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
     # 1. Stars.
-    open_, known, pivots_of = placed, None, []
+    open_, pivots_of = placed, []
     for _ in range(ROUNDS):
         pivots = open_.groupBy("node").agg(F.max(F.struct("shared", (-F.col("id")).alias("order"), "id", "n", *S)).alias("m")).select("node", F.col("m.shared").alias("rank"), "m.id", "m.n", *(f"m.{c}" for c in S))
         pivots = tables.written(pivots, "pivots")
         pivots_of.append(pivots.select("id", "rank"))
         stars = open_.alias("b").join(pivots.alias("a"), "node").where((a("id") != b("id")) & _passes(WIDE)).select(a("id").alias("u"), b("id").alias("v")).distinct()
-        found = counted(stars if known is None else stars.join(known.select("u", "v"), ["u", "v"], "left_anti"))
-        known = found if known is None else known.unionByName(found)
+        counted(stars.join(known.select("u", "v"), ["u", "v"], "left_anti"))
         close = known.where(similarity >= settling).select(F.col("u").alias("pivot"), F.col("v").alias("id"))
         settled = open_.join(pivots.select("node", F.col("id").alias("pivot")), "node").select("node", "pivot", "id").join(close, ["pivot", "id"]).select("node", "id")
         open_ = tables.written(open_.join(settled.unionByName(pivots.select("node", "id")), ["node", "id"], "left_anti"), "open")
@@ -300,7 +301,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     strays = tables.written(strays, "strays")
     sketched = classes.select("id", "n", *S)
     strays = strays.join(sketched.withColumnRenamed("id", "u").alias("a"), "u").join(sketched.withColumnRenamed("id", "v").alias("b"), "v").where(_passes(WIDE)).select("u", "v")
-    known = tables.written(known.unionByName(counted(strays)), "known")
+    counted(strays)
     merged(known)
 
     # 2. Differences. Each pair is compared in one group, if there is one whose pivot settles either member.
@@ -310,15 +311,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     active = tables.written(active.where("any and (free or lo <> hi or lo = pivot)").select("pivot", "members"), "active")
     group = tables.written(group.join(active, "pivot"), "active-groups")
     # Large groups are told from a member near their centre, which meets all others first.
-    central = tables.written(central_members(group, reduce(DataFrame.unionByName, sets), tables), "central")
+    central = tables.written(central_members(group, sets, tables), "central")
     group = tables.written(group.join(central, "pivot", "left").withColumn("ref", F.coalesce("ref", "pivot")).where("id <> ref").drop("root", "apart", "n_pivot"), "referred")
     met = group.where("ref <> pivot").select(F.col("ref").alias("u"), F.col("id").alias("v")).distinct()
-    found = counted(met.join(known.select("u", "v"), ["u", "v"], "left_anti"))
-    known = known.unionByName(found)
-    merged(found)
+    merged(counted(met.join(known.select("u", "v"), ["u", "v"], "left_anti")))
     referred = tables.written(group.select("ref").distinct().join(classes.select(F.col("id").alias("ref"), F.col("n").alias("n_ref")), "ref").join(roots.select(F.col("id").alias("ref"), F.col("root").alias("head")), "ref", "left"), "references")
     group = tables.written(labelled(group).join(referred, "ref").withColumn("apart", F.col("root") != F.coalesce("head", "ref")), "related")
-    index = tables.written(difference_places(group, reduce(DataFrame.unionByName, sets), percent), "differences")
+    index = tables.written(difference_places(group, sets, percent), "differences")
     # Groups of a member whose pivot is some member's chief: where a pair has such a group in common, it is compared there.
     homes = group.join(group.select(F.col("chief").alias("pivot")).distinct(), "pivot").groupBy("id").agg(F.collect_set("pivot").alias("homes"))
     about = tables.written(group.select("id", "chief").distinct().join(homes, "id", "left"), "homes")
@@ -339,9 +338,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         rows = tables.written(labelled(index.drop("root")), "rooted-differences")
         open_tokens = rows.groupBy("pivot", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("apart").alias("any"), F.min(F.struct(~F.col("apart"), "size", "id")).alias("one")).where("any and lo <> hi").select("pivot", "token", F.col("one.id").alias("one"))
         rows = tables.written(rows.join(tables.written(open_tokens, "open-tokens"), ["pivot", "token"]), "open-differences")
-        found = counted(sharing(rows, rows.where("id = one")) if first else sharing(rows, rows.where("apart")))
-        known = known.unionByName(found)
-        merged(found)
+        merged(counted(sharing(rows, rows.where("id = one")) if first else sharing(rows, rows.where("apart"))))
 
     # 3. Small nodes.
     open_ = tables.written(labelled(open_), "open-members")
