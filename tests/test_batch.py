@@ -80,3 +80,29 @@ def test_wide_batches_and_blocks_of_queries(spark, monkeypatch):
     found = search.knn_batch(corpus, corpus.where("id % 6 = 0").selectExpr("id as query_id", "vector"), 4, digits=6)
     assert found.where("rank > 4").count() == 0
     assert sorted(map(tuple, found.select("query_id", "id", "score").collect())) == sorted(brute(rows, ids, rows[::6], ids[::6], 4, "cosine"))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_approximate_batch_is_exact_within_its_cells(spark, metric):
+    """Each query meets all rows of the cells it visits and no others; one whose cells hold too few matches meets all rows."""
+    from loomspark.operators import ann
+
+    rows, ids = vectors(1500, 6), np.arange(1500)
+    index = ann.Index(vectors(20, 6, seed=5).astype(np.float64), metric, 3)
+    own, visited = index.cells(rows.astype(np.float64))[:, 0], index.cells(rows[::10].astype(np.float64), 3)
+    few = int(visited[0, 0])
+    kept = ~np.isin(own, visited[0]) | (ids % 250 == 0)  # the first query's cells keep few rows
+    corpus = ann.assign(spark.createDataFrame([(int(i), v.tolist(), bool(x)) for i, v, x in zip(ids, rows, kept)], "id long, vector array<float>, kept boolean"), index)
+    queries = corpus.where("id % 10 = 0").selectExpr("id as query_id", "vector")
+    found = ann.ann_knn_batch(corpus, index, queries, 5, where="kept", digits=6)
+    mask = np.array([np.isin(own, v) & kept for v in visited])
+    short = mask.sum(1) < 5
+    assert few in visited[short] and not short.all()
+    mask[short] = kept
+    assert sorted(map(tuple, found.select("query_id", "id", "score").collect())) == sorted(brute(rows, ids, rows[::10], ids[::10], 5, metric, mask))
+
+
+def test_approximate_batch_joins_nothing(spark):
+    """Queries aren't multiplied by the rows of their cells: tasks hand on at most k rows a query."""
+    found = QUERIES["ann_topk"](spark, "/root/testdata/sf0.01")
+    assert "Join" not in found._jdf.queryExecution().toString()
